@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import bpe, quality
 from tessera.llm.tables import read
 
 
+#: The public vocabulary that token counts and encodings use unless told otherwise.
+VOCABULARY = "byte_bpe_50k"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(f"{name}.json")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     judged = quality.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), target)
@@ -19,6 +34,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_rules": op5_quality_rules,
     }
 
