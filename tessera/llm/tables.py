@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +42,16 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_keys(ids: DataFrame, most: int) -> np.ndarray:
+    """``xxhash64`` of the ids in the first column, sorted: all of them, or near ``most`` of the smallest, never more.
+
+    Never empty, so that it can be searched: without ids it holds one key that no id is likely to have.
+    """
+    keys = ids.select(F.col(f"`{ids.columns[0]}`").alias("id")).where("id is not null").select(F.xxhash64("id").alias("key"))
+    n = keys.count()
+    if n > most:
+        keys = keys.where(F.col("key") < int(-(2**63) + 2**64 * (most / n)))
+    found = np.unique(np.array([r[0] for r in keys.collect()], dtype=np.int64))[:most]
+    return found if len(found) else np.array([np.iinfo(np.int64).min + 1])
