@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, quality, secrets, simhash, urls
-from tessera.llm.tables import read
+from tessera.llm import bpe, decontaminate, language, quality, secrets, simhash, token_counts, toxicity, urls
+from tessera.llm.tables import read, scratch, settle
 
 
 #: The public vocabulary that token counts and encodings use unless told otherwise.
@@ -21,6 +21,42 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(f"{name}.json")
 
 
+def rollup_of_curation(spark: SparkSession, sf_dir: str, tokenizers: dict[str, token_counts.Counter]) -> DataFrame:
+    """Totals after three batches: all documents come; those with repeated lines are revised to each line once; exact
+    copies, but that of the smallest id, are deleted. The last batch comes twice, and counts once."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    store = token_counts.Rollup(spark, scratch(spark, "token-counts"), tokenizers)
+    store.apply(1, docs.withColumn("op", F.lit("insert")))
+    once = token_counts.distinct_lines(F.col("text"))
+    store.apply(2, docs.withColumn("op", F.lit("revise")).withColumn("new", once).where("new <> text").drop("text").withColumnRenamed("new", "text"))
+    marked = docs.select("doc_id", F.sha2("text", 256).alias("mark"))
+    first = marked.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    gone = marked.join(first, "mark").where("doc_id <> first").select("doc_id", F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")])
+    for _ in range(2):
+        store.apply(3, gone)
+    return store.totals()
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_of_curation(spark, sf_dir, {VOCABULARY: token_counts.count_bpe(vocabulary_path()), "words": token_counts.count_words})
+
+
+def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 with the tokenizer that SQL can express."""
+    return rollup_of_curation(spark, sf_dir, {"words": token_counts.count_words})
+
+
+TOKEN_COUNTS_WORDS_SQL = r"""
+WITH kept AS (
+  SELECT *, array_to_string(list_filter(list_transform(list_zip(string_split(text, chr(10)), range(1, 1 + len(string_split(text, chr(10))))),
+      lambda z: CASE WHEN list_position(string_split(text, chr(10)), z[1]) = z[2] THEN z[1] END), lambda l: l IS NOT NULL), chr(10)) AS lines
+  FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))
+SELECT source, lang, 'words' AS tokenizer, count(*) AS n_docs,
+  CAST(sum(len(regexp_extract_all(lines, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens, CAST(sum(length(lines)) AS BIGINT) AS n_chars
+FROM kept GROUP BY source, lang
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -41,6 +77,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first_id").alias("component_id"))
@@ -48,7 +90,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, urls.crawl_traps(pages)).withColumnRenamed("id", "page_id")
+    return urls.judge(pages, settle(urls.crawl_traps(pages), "crawl-traps")).withColumnRenamed("id", "page_id")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.profiles(docs)).withColumnRenamed("id", "doc_id")
 
 
 OP9_SQL = r"""
@@ -78,16 +125,21 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "token_counts_words": token_counts_words,
         "op2_decontaminate": op2_decontaminate,
         "op3_secrets": op3_secrets,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op8_simhash": op8_simhash,
         "op9_url_filter": op9_url_filter,
+        "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "token_counts_words": TOKEN_COUNTS_WORDS_SQL.replace("\\\\", "\\"),
         "op9_url_filter": OP9_SQL.replace("\\\\", "\\"),
     }
