@@ -1,15 +1,24 @@
-"""A curation pipeline over ``documents``; each stage reads the Parquet table that the one before wrote."""
+"""A curation pipeline over ``documents``; each stage reads the Parquet table that the one before wrote.
+
+Every stage but the last returns the columns of ``documents``: rejected documents go, one document of each
+near-duplicate group stays, documents that overlap the benchmark go, secrets are masked. The last stage encodes what
+is left. Other columns pass through untouched; a table without rows gives a result without rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import bpe, decontaminate, quality, secrets, simhash
+from tessera.llm.registry import vocabulary_path
 from tessera.llm.tables import read, settle
 from tessera.llm.textblocks import ROW
 
+_KEY = "__text_sha256"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the rules reject go."""
@@ -17,15 +26,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs, target, keep_row=True).where("kept").select(f"{ROW}.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the document of the smallest id of each component stays."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that overlap a benchmark item go. They are known by their text, since ids may be null."""
+    keyed = docs.withColumn(_KEY, F.sha2("text", 256))
+    leaks = decontaminate.overlaps(keyed.select(_KEY, "text"), read(spark, sf_dir, "benchmark"), id_col=_KEY)
+    return keyed.join(leaks.select(F.col("id").alias(_KEY)).distinct(), _KEY, "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: secrets are masked, and n_chars says how long the text is now."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the ids of every text, and a proof that they decode to it."""
+    done = bpe.round_trip(docs, vocabulary_path())
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe),
 ]
 
-#: The near-duplicate stage is a graph's components and the last stage encodes bytes: SQL cannot express them.
+#: A learned threshold, a graph's components and an encoding: SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all of ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)

@@ -37,7 +37,7 @@ FOLDS = 5
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, LEAST_SEEN = 6_000, 12_000, 2_000, 4
 #: Bytes of the n-grams.
 SIZES = (4, 5)
-STEPS, RATE, PENALTY = 200, 0.05, 1e-4
+STEPS, RATE, PENALTY = 200, 0.05, 3e-4
 
 
 @dataclass(frozen=True)
