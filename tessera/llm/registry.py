@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, language, quality, secrets, simhash, token_counts, toxicity, urls
+from tessera.llm import bpe, decontaminate, language, quality, secrets, simhash, substrings, token_counts, toxicity, urls
 from tessera.llm.tables import read, scratch, settle
 
 
@@ -83,6 +83,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first_id").alias("component_id"))
@@ -132,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_simhash": op8_simhash,
         "op9_url_filter": op9_url_filter,
         "op10_language": op10_language,
