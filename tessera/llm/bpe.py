@@ -27,7 +27,9 @@ from tessera.llm import textblocks as tb
 #: The split pattern with the white space of Unicode spelled out, so that the regex module reads it as Rust does.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces that a task keeps; beyond that it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
+#: Pieces that the library encodes in one call; its results take far more memory than the ids.
+ENCODE_PIECES = 4_096
 
 
 def byte_table() -> dict[str, int]:
@@ -58,8 +60,10 @@ class Codec:
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache = {}
             new = list(set().union(*cut))
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
+        for at in range(0, len(new), ENCODE_PIECES):
+            some = new[at : at + ENCODE_PIECES]
+            for piece, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.cache[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
         ids = self.cache.__getitem__
         return [b"".join(map(ids, c)) for c in cut]
 

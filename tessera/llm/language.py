@@ -86,7 +86,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         for batch in batches:
             _, offsets = tb.utf8(batch.column(1))
-            for lo, hi in tb.row_slices(offsets, 4 * tb.BLOCK_BYTES):
+            for lo, hi in tb.row_slices(offsets, 8 * tb.BLOCK_BYTES):
                 langs = np.array(batch.column(0).slice(lo, hi - lo).to_pylist())
                 lists = ngram_lists(batch.column(1).slice(lo, hi - lo).to_pylist())
                 for lang in sorted(set(langs.tolist())):

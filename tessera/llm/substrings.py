@@ -93,7 +93,7 @@ def _packed_prints(rows: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = tb.utf8(batch.column(1))
-            for lo, hi in tb.row_slices(offsets, 4 * tb.BLOCK_BYTES):
+            for lo, hi in tb.row_slices(offsets, 8 * tb.BLOCK_BYTES):
                 names = batch.column(0).slice(lo, hi - lo).to_numpy()
                 block = _Block(batch.column(1).slice(lo, hi - lo))
                 shard, text = block.shards(shards), np.searchsorted(block.bounds, block.anchors, "right") - 1
@@ -143,7 +143,7 @@ def _marked_texts(rows: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = tb.utf8(batch.column(2))
-            for lo, hi in tb.row_slices(offsets, 4 * tb.BLOCK_BYTES):
+            for lo, hi in tb.row_slices(offsets, 8 * tb.BLOCK_BYTES):
                 part = batch.slice(lo, hi - lo)
                 block = _Block(part.column(2))
                 shard = block.shards(shards)

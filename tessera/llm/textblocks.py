@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 ROW = "__row"
 
 _U = np.uint64
