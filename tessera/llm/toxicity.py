@@ -35,9 +35,12 @@ from tessera.llm.tables import bounded_keys
 
 FOLDS = 5
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, LEAST_SEEN = 6_000, 12_000, 2_000, 4
+#: An n-gram's share of the positives must be this many times its share of the unlabelled texts. What is as common in
+#: both says nothing, and would let the length of a text decide.
+LEAST_LIFT = 1.2
 #: Bytes of the n-grams.
 SIZES = (4, 5)
-STEPS, RATE, PENALTY = 200, 0.05, 3e-4
+STEPS, RATE, PENALTY = 200, 0.05, 5e-4
 
 
 @dataclass(frozen=True)
@@ -112,11 +115,11 @@ class _Finder:
 
 
 def fit_nnpu(rows: tuple[np.ndarray, np.ndarray], features: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int], n_features: int, prior: float, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch Adam; ``rows`` and ``features`` list the ones of the positives, then of the
+    """Weights and intercept by full-batch Adam, averaged over the second half of the steps; ``rows`` and ``features`` list the ones of the positives, then of the
     unlabelled texts, and ``sizes`` says how many texts each has."""
     theta = np.zeros(n_features + 1)
     theta[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    m, v, mean = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def outputs(k: int) -> np.ndarray:
@@ -135,14 +138,16 @@ def fit_nnpu(rows: tuple[np.ndarray, np.ndarray], features: tuple[np.ndarray, np
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+        if t > steps // 2:
+            mean += theta / (steps - steps // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = FOLDS) -> Model | None:
     """The classifier; ``labels`` has ``id_col`` and ``label_col`` (1: toxic). None without any positive."""
     spark = docs.sparkSession
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    known = labels.where(~held_out(ids, folds))
+    known = labels.where(~held_out(ids, folds) & F.col(f"`{label_col}`").isNotNull())
     n, positive = known.agg(F.count(F.lit(1)), F.sum((F.col(f"`{label_col}`") == 1).cast("long"))).first()
     if not positive:
         return None
@@ -169,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_p or not n_u:
         return None
     share_p, share_u = F.col("p") / n_p, F.col("u") / n_u
-    seen = marked.mapInArrow(counted, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_SEEN)
+    seen = marked.mapInArrow(counted, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where((F.col("p") >= LEAST_SEEN) & (F.col("p") / n_p >= LEAST_LIFT * F.col("u") / n_u))
     telling = (share_p - share_u) * (share_p - share_u) / (share_u + 1 / n_u)
     top = seen.orderBy(telling.desc(), "gram").limit(MOST_FEATURES).collect()
     if not top:
