@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tessera.llm import textblocks as tb
 from tessera.llm.graphs import connected_components
@@ -224,7 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null last), then the smallest row hash."""
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    maps = {f.name for f in docs.schema.fields if isinstance(f.dataType, MapType)}  # which have no hash of their own
+    hashed = F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in docs.columns])
     marks = settle(fingerprints(docs, id_col, text_col, F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), hashed.alias("row"))), "marks")
     placed = marks.join(components(marks.select(F.col("id.id").alias("id"), "fp")).select("fp", "root"), "fp")
     stay = placed.groupBy("root").agg(F.min("id").alias("least")).select(F.col("least.row").alias("__row_hash")).distinct()

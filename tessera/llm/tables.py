@@ -1,47 +1,14 @@
-"""How the operators read their tables and where they put intermediate ones."""
+"""What the operators need of their tables besides reading and settling them."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import read, scratch, settle, shared_dir
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a folder of the local machine is set.
-    """
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if where is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
-        current = spark.sparkContext.getCheckpointDir()
-    return where or current
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: it is computed once, its lineage ends here,
-    and a lost executor costs nothing that was written."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_keys", "read", "scratch", "settle", "shared_dir"]
 
 
 def bounded_keys(ids: DataFrame, most: int) -> np.ndarray:
