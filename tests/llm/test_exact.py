@@ -53,8 +53,9 @@ def test_quality_llr_matches_brute_force(spark):
         raw.update(bucket[g] for g in grams(t))
         if i in (5, 6, 7, 8):
             trusted.update(bucket[g] for g in grams(t))
-    p = lambda c, b: (c[b] + quality.SMOOTHING * sum(c.values()) / quality.BUCKETS) / (sum(c.values()) * (1 + quality.SMOOTHING))
-    expected = sorted(round(sum(math.log(p(trusted, bucket[g]) / p(raw, bucket[g])) for g in grams(t)) / max(1, len(grams(t))), 4) for _, t in ROWS)
+    p_raw = lambda b: raw[b] / sum(raw.values())
+    p_target = lambda b: (trusted[b] + quality.PRIOR * p_raw(b)) / (sum(trusted.values()) + quality.PRIOR)
+    expected = sorted(round(sum(math.log(p_target(bucket[g]) / p_raw(bucket[g])) for g in grams(t)) / max(1, len(grams(t))), 4) for _, t in ROWS)
     assert sorted(round(r["llr"], 4) for r in out) == pytest.approx(expected, abs=2e-4)
     assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD) for r in out)
     assert quality.quality_rules(empty(spark), target).count() == 0
