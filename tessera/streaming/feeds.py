@@ -38,29 +38,32 @@ def rolling_metrics(requests: DataFrame, length: str = "60 seconds", step: str =
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tool", "n", "avg_duration", "error_rate")
 
 
-def rate_limit(requests: DataFrame, seconds: int = 60, most: int = 10) -> DataFrame:
+def rate_limit(requests: DataFrame, seconds: int = 60, most: int = 10, late: str = "60 seconds") -> DataFrame:
     """(ip, ts, allowed): a fixed window begins at a key's first request and lets ``most`` through.
 
-    State is two numbers a key, dropped once its window is over.
+    State is two numbers a key, dropped once the watermark is past its window. Requests later than ``late`` are not
+    judged. Time is that of the requests alone, so a feed that is read again gives the same answers.
     """
+    window = seconds * 1_000_000
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        began, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        began, n = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
         allowed = []
-        for at in rows["ts"].map(pd.Timestamp.timestamp):
-            if n == 0 or at - began >= seconds:
+        for at in rows["us"].tolist():
+            if n == 0 or at - began >= window:
                 began, n = at, 0
             n += 1
             allowed.append(n <= most)
         state.update((began, n))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((began + window) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"ip": key[0], "ts": rows["ts"].to_numpy(), "allowed": allowed})
 
-    return requests.groupBy("ip").applyInPandasWithState(judge, "ip string, ts timestamp, allowed boolean", "began double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark("ts", late).select("ip", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("ip").applyInPandasWithState(judge, "ip string, ts timestamp, allowed boolean", "began long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def maintain(changes: DataFrame, nodes_at: Callable[[int], str], parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, start: tuple[DataFrame, DataFrame]) -> StreamingQuery:
