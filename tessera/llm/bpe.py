@@ -26,8 +26,9 @@ from tessera.llm import textblocks as tb
 
 #: The split pattern with the white space of Unicode spelled out, so that the regex module reads it as Rust does.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct pieces that a task keeps; beyond that it starts anew.
-CACHE_PIECES = 100_000
+#: Distinct pieces in each of the two generations that a task keeps: the younger one becomes the older once it is full,
+#: and a piece that is met again moves back, so common pieces stay.
+CACHE_PIECES = 200_000
 #: Pieces that the library encodes in one call; its results take far more memory than the ids.
 ENCODE_PIECES = 4_096
 
@@ -52,14 +53,18 @@ class Codec:
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(map(table.__getitem__, token)) if all(c in table for c in token) else token.encode()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache = {}
-            new = list(set().union(*cut))
+        distinct = set().union(*cut)
+        if len(self.cache) + len(distinct.difference(self.cache)) > CACHE_PIECES:
+            self.cache, self.older = {}, self.cache
+        absent = distinct.difference(self.cache)
+        known = absent.intersection(self.older)
+        self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new = list(absent.difference(known))
         for at in range(0, len(new), ENCODE_PIECES):
             some = new[at : at + ENCODE_PIECES]
             for piece, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
