@@ -7,7 +7,9 @@ The work goes in four steps; only the last two decide, and they compare words, n
    Anchors are about a quarter as many as windows. Their 32-bit prints, packed by shard, are shuffled; a print that
    two texts have marks its anchors, and one bit an anchor goes back to the texts.
 2. *Passages.* Runs of windows with marked anchors are cut where the least KEY-word hash of the window moves. Each
-   piece is a passage of WINDOW words or a few more; equal windows always lie in passages of one key.
+   piece is a passage of WINDOW words or a few more; equal windows always lie in passages of one key. A key that a
+   sample finds to have over CROWDED passages, as of a line that many texts go on from in their own way, is worked
+   on by window: each of its windows is a passage, keyed by the hash of all its words, so equal ones still meet.
 3. *Automata.* Passages meet by key. Each task compiles the recurring phrases of a bounded number of keys into an
    Aho-Corasick automaton over words, a shard of the whole, streams the passages of these keys through it, and so
    finds every occurrence of every phrase, and the smallest document id among them.
@@ -42,6 +44,8 @@ ANCHOR, KEY = 8, 5
 CHARS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 48_000_000, 8, 65_536
 #: Passages gathered before an automaton is compiled, and phrases that one automaton holds at most.
 PASSAGES, PHRASES = 6_000, 40_000
+#: Distinct passages beyond which a key is divided, estimated from one text in SAMPLE and all of over LONG words.
+CROWDED, SAMPLE, LONG = 1_000, 8, 4_000
 
 _LAST = np.iinfo(np.int64).max
 
@@ -170,8 +174,19 @@ def _marked_texts(rows: DataFrame, shards: int) -> DataFrame:
     return joined.mapInArrow(run, "row long, id long, n_words long, kept string, text string, candidates binary")
 
 
-def _passages(texts: DataFrame) -> DataFrame:
-    """(row, id, at, key, passage): the passages of each text and the word that each starts at."""
+def _crowded(texts: DataFrame) -> np.ndarray:
+    """The keys of about CROWDED distinct passages or more, sorted. What is missed or taken too much costs time only."""
+    none = np.zeros(0, np.int64)
+    some = lambda part, weight: _passages(part, none).select("key", F.xxhash64("passage").alias("p"), F.lit(weight).alias("w"))
+    seen = some(texts.where(F.col("n_words") > LONG), 1).unionByName(some(texts.where((F.col("n_words") <= LONG) & (F.pmod("row", F.lit(SAMPLE)) == 0)), SAMPLE))
+    n = seen.groupBy("key", "p").agg(F.max("w").alias("w")).groupBy("key").agg(F.sum("w").alias("n"))
+    return np.sort(np.array([r[0] for r in n.where(F.col("n") > CROWDED).select("key").collect()], dtype=np.int64))
+
+
+def _passages(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
+    """(row, id, at, key, passage): the passages of each text and the word that each starts at; of ``crowded`` keys the
+    windows, with keys of their own."""
+    shared = texts.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +196,20 @@ def _passages(texts: DataFrame) -> DataFrame:
                 data, off = tb.utf8(part.column(2))
                 starts, ends = tb.spans(tb.NOT_SPACE[data], off)
                 bounds = np.searchsorted(starts, off)
-                grams, place = _least(tb.span_hashes(data, starts, ends), KEY)
+                tokens = tb.span_hashes(data, starts, ends)
+                grams, place = _least(tokens, KEY)
                 window = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=b - a).view(bool) for c, a, b in zip(part.column(3).to_pylist(), bounds[:-1], bounds[1:], strict=True)])[: len(place)]
                 at = np.flatnonzero(window)
-                new = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (place[at[1:]] != place[at[:-1]]))))
+                keys = grams[place[at]].view(np.int64)
+                divided = np.isin(keys, shared.value)
+                keys[divided] = tb.window_hashes(tokens, WINDOW)[at[divided]].view(np.int64)
+                new = np.flatnonzero(divided | np.concatenate(([True], (np.diff(at) > 1) | (place[at[1:]] != place[at[:-1]]))))
                 first, last = at[new], at[np.append(new[1:], len(at)) - 1] + WINDOW - 1
                 text = np.searchsorted(bounds, first, "right") - 1
                 raw = data.tobytes()
                 found = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
                 pick = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array((first - bounds[text]).astype(np.int32)), pa.array(grams[place[first]].view(np.int64)), pa.array(found, pa.binary()).cast(pa.string())], ["row", "id", "at", "key", "passage"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array((first - bounds[text]).astype(np.int32)), pa.array(keys[new]), pa.array(found, pa.binary()).cast(pa.string())], ["row", "id", "at", "key", "passage"])
 
     return texts.select("row", "id", "text", "candidates").mapInArrow(run, "row long, id long, at int, key long, passage string")
 
@@ -293,7 +312,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shards = int(min(MOST_SHARDS, max(LEAST_SHARDS, chars // CHARS_PER_SHARD)))
     texts = settle(_marked_texts(rows, shards), "marked-texts")
     open_texts = texts.where("candidates is not null")
-    passages = _passages(open_texts)
+    passages = _passages(open_texts, _crowded(open_texts))
     located = settle(_located(passages), "located")
     gone = _removed(passages, located)
     cut = open_texts.select("row", "id", "n_words", "text").join(gone.withColumnRenamed("row", "g_row"), F.col("row") == F.col("g_row"), "left").select("id", "n_words", "text", "starts")

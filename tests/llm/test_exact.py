@@ -189,6 +189,33 @@ def test_phrases_of_crowded_keys_take_several_automata(monkeypatch):
     assert least[0].tolist() == [9, 9, 4, 4, 4, 4, 9, 9] and least[1].tolist() == [4] * 4 and least[2].tolist() == [4]
 
 
+def test_a_line_with_own_text_after_it_in_every_document_is_no_single_key(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(11)
+    line = " ".join(f"licence{k}" for k in range(20))
+    data = [(i, f"{line} " + " ".join(str(rnd.getrandbits(40)) for _ in range(30))) for i in range(4000)]
+    data[7] = (7, data[3][1])
+    largest = []
+
+    def located(passages, real=substrings._located):
+        largest.append(passages.groupBy("key").agg(substrings.F.countDistinct("passage").alias("n")).agg(substrings.F.max("n")).first()[0])
+        return real(passages)
+
+    monkeypatch.setattr(substrings, "_located", located)
+    out = {r["id"]: r["n_removed"] for r in substrings.dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()}
+    assert out == {i: 0 if i == 0 else 50 if i == 7 else 20 for i in range(4000)}
+    assert largest[0] <= 1000
+
+
+def test_crowded_keys_give_what_others_give(spark, monkeypatch):
+    data = documents(spark, ROWS)
+    expected = Counter(tuple(r) for r in substrings.dedup(data).collect())
+    monkeypatch.setattr(substrings, "CROWDED", 0)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    assert Counter(tuple(r) for r in substrings.dedup(data).collect()) == expected
+
+
 # -- secrets ---------------------------------------------------------------------------------------------------------
 
 _KEYWORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
