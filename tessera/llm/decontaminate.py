@@ -1,6 +1,7 @@
 """Benchmark decontamination (operator 2) with spaced-seed hashing.
 
-Tokens are runs of letters and digits, lower-cased. A mask selects some positions of a short span and ignores the
+Tokens are runs of Unicode letters and digits, lower-cased; a letter of a script written without spaces, such as Han,
+kana or Thai, is with its marks a token of its own. Punctuation and symbols of any script part tokens. A mask selects some positions of a short span and ignores the
 others; the hash of the selected tokens is a seed. Two texts that agree but for a few substituted tokens still share
 seeds whose ignored positions fall on the substitutions. The work goes in four steps:
 
@@ -49,7 +50,7 @@ def window_of(n: int) -> tuple[int, int]:
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts and bounds by text."""
     data, off = tb.utf8(pc.utf8_lower(texts))
-    starts, ends = tb.spans(tb.ALNUM[data], off)
+    starts, ends = tb.token_spans(data, off)
     return tb.span_hashes(data, starts, ends), np.searchsorted(starts, off)
 
 

@@ -10,6 +10,8 @@ compare the texts behind equal hashes.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +59,12 @@ NOT_SPACE = ~_SPACE
 #: True for letters, digits and every byte of a character beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, Tai, Javanese, Han, kana, Bopomofo and Yi.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[0x41:0x5B] += 0x20
 
@@ -108,6 +116,42 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point: 1 for letters, digits and marks, 2 for those of unspaced scripts, 3 for marks of these, else 0."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    spaced = np.ones(len(kinds), dtype=bool)
+    for lo, hi in UNSPACED:
+        spaced[lo : hi + 1] = False
+    for c in range(0x80, 0x40000):
+        major = unicodedata.category(chr(c))[0]
+        if major in "LNM" and not 0xFE00 <= c <= 0xFE0F:
+            kinds[c] = 1 if spaced[c] else 3 if major == "M" else 2
+    return kinds
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of Unicode letters and digits; of an unspaced script each letter, with its marks, is a run."""
+    mask = ALNUM[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return spans(mask, offsets)
+    first = data[lead]
+    size = 2 + (first >= 0xE0) + (first >= 0xF0).astype(np.int64)
+    point = (first & (0xFF >> (size + 1))).astype(np.int64)
+    for j in range(1, 4):
+        more = size > j
+        point[more] = (point[more] << 6) | (data[lead[more] + j] & 0x3F)
+    kind = _kinds()[point]
+    for j in range(4):
+        other = lead[(size > j) & (kind == 0)]
+        mask[other + j] = False
+    # an unspaced letter begins a run, and what follows it or its mark begins one too, but a mark
+    after = (lead + size)[kind >= 2]
+    marks = lead[kind == 3]
+    return spans(mask, np.concatenate((offsets, lead[kind == 2], after[~np.isin(after, marks)])))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte spans (sorted by start); equal bytes hash alike wherever they stand."""
     out = np.empty(len(starts), dtype=_U)

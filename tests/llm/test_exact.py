@@ -329,6 +329,29 @@ def test_url_rules_and_list(spark):
         (4, "https://example.net/de/80", "example.net/de/8", "block"),
         (5, "https://com/en/", "com/en/", "block"),
         (6, "no url at all", None, "allow"),
+def test_tokens_are_unicode_letters_and_digits():
+    def split(text: str) -> list[str]:
+        data, off = decontaminate.tb.utf8(pa.array([text, "x"]))
+        starts, ends = decontaminate.tb.token_spans(data, off)
+        return [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)][:-1]
+
+    assert split("naïve—“café” a1, हिन्दी 中文。ab漢c") == ["naïve", "café", "a1", "हिन्दी", "中", "文", "ab", "漢", "c"]
+    assert split("กำ่ข カ\u3099x𠀀é…·😀!") == ["กำ่"[:1], "กำ่"[1:], "ข", "カ\u3099", "x", "𠀀", "é"]
+    assert split("") == [] and split("中") == ["中"]
+
+
+def test_decontamination_finds_items_of_unspaced_scripts(spark):
+    import random
+
+    rnd = random.Random(4)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    long, short, quoted = f"{han(40)}，{han(60)}。{han(50)}", han(7), "one two three four five six"
+    items = spark.createDataFrame([(1, long), (2, short), (3, f"“{quoted}”")], "item_id long, text string")
+    other = long[:20] + han(1) + long[21:60]
+    data = [(10, f"{han(30)}{long}{han(30)}"), (11, f"{han(20)}{other}{han(9)}"), (12, f"{han(5)}{short}{han(5)}"), (13, f"said—{quoted}…and"), (14, han(400)), (15, long[::-1])]
+    assert {(r["id"], r["item_id"]) for r in decontaminate.overlaps(documents(spark, data), items).collect()} == {(10, 1), (11, 1), (12, 2), (13, 3)}
+
+
         (7, None, None, "allow"),
         (8, "https://www.listed.org/a/?ref=1&b=2&a=1", None, "block"),
         (8, "http://m.listed.org/a?a=1&b=2#f", None, "block"),
