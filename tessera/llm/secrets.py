@@ -4,7 +4,8 @@ Base spans are the leftmost, non-overlapping matches of three shapes that are lo
 candidate strings are runs of one character class; a window of a fixed number of characters slides over each. The
 window's Shannon entropy is kept up by counts: as a character enters or leaves, the sum of c * log2(c) over the
 window's characters c changes by one term. A stretch of windows above the class's threshold is a span, unless the
-candidate matches the allow-list or a base span already covers the stretch.
+allow-list matches the whole candidate or a base span already covers the stretch. A repetition or a placeholder word
+that is only a piece of a candidate allows nothing else in it: base64 keys hold padding, and values follow paths.
 
 Places are code points, ends exclusive. A row's spans are found within the row, so a hot source moves no data.
 
@@ -32,11 +33,13 @@ CLASSES = (
 )
 #: Characters of the sliding window.
 WINDOW = 20
-#: Candidates of these shapes are no secrets: UUIDs, placeholders, repetitions of one character, paths of words.
+#: Words, numbers and camel-case names, as placeholders are made of; not the mixed runs that keys are made of.
+_PIECE = r"(?:[A-Z]?[a-z]{1,15}(?:[A-Z][a-z]{2,15}){0,3}[0-9]{0,4}|[A-Z]{1,15}[0-9]{0,4}|[0-9]{1,4})"
+#: Whole candidates of these shapes are no secrets: UUIDs, placeholders, repetitions of one character, paths of words.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|placeholder|dummy|changeme|redacted|lorem",
-    r"(.)\1{7}",
+    rf"^(?=.*(?i:example|placeholder|dummy|changeme|redacted|lorem))[+/_=-]*{_PIECE}(?:[+/_=-]+{_PIECE})*[+/_=-]*$",
+    r"^(?:(.)\1{7,})+$",
     r"^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
 )
 REDACTED = "[REDACTED]"

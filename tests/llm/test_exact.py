@@ -265,6 +265,17 @@ def test_secrets_match_brute_force(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_an_allowed_piece_does_not_hide_the_rest_of_its_run(spark):
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"
+    value = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"
+    hidden = [key, f"/example/{value}", f"example_{value}", f"{value}{'A' * 12}{value}", f"dummy-{value}"]
+    allowed = ["/path/to/example/file2024/readme", "your_example-token_placeholder_1234", "0" * 12 + "A" * 14, "AKEY_EXAMPLE_REDACTED_REDACTED1", "12345678-1234-1234-1234-1234567890ab"]
+    out = {r["id"]: r["n_entropy"] for r in secrets.scan(documents(spark, list(enumerate(hidden + allowed)))).collect()}
+    assert [out[i] > 0 for i in range(len(out))] == [True] * len(hidden) + [False] * len(allowed)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(documents(spark, list(enumerate(hidden)))).collect()}
+    assert all("[REDACTED]" in masked[i] and value not in masked[i] for i in range(len(hidden)))
+
+
 def test_redaction_masks_every_span_and_nothing_else(spark):
     docs = documents(spark, [(1, "a token=abcdefghijklmn b"), (2, "clean"), (3, None), (4, "AKIA" + "A" * 20 + " 0123456789abcdef0")])
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
@@ -318,17 +329,6 @@ def test_decontamination_finds_substituted_overlaps_only(spark):
     assert decontaminate.overlaps(documents(spark, data), items.limit(0)).count() == 0
 
 
-# -- URL filters -----------------------------------------------------------------------------------------------------
-
-
-def test_url_rules_and_list(spark):
-    data = [
-        (1, "HTTP://A.Example.COM/en/7?x#y", "example.com/en/7", "allow"),
-        (2, "https://example.com/en/8", "com/en/", "block"),
-        (3, "https://notexample.net/de/8", "net/de/", "allow"),
-        (4, "https://example.net/de/80", "example.net/de/8", "block"),
-        (5, "https://com/en/", "com/en/", "block"),
-        (6, "no url at all", None, "allow"),
 def test_tokens_are_unicode_letters_and_digits():
     def split(text: str) -> list[str]:
         data, off = decontaminate.tb.utf8(pa.array([text, "x"]))
@@ -352,6 +352,17 @@ def test_decontamination_finds_items_of_unspaced_scripts(spark):
     assert {(r["id"], r["item_id"]) for r in decontaminate.overlaps(documents(spark, data), items).collect()} == {(10, 1), (11, 1), (12, 2), (13, 3)}
 
 
+# -- URL filters -----------------------------------------------------------------------------------------------------
+
+
+def test_url_rules_and_list(spark):
+    data = [
+        (1, "HTTP://A.Example.COM/en/7?x#y", "example.com/en/7", "allow"),
+        (2, "https://example.com/en/8", "com/en/", "block"),
+        (3, "https://notexample.net/de/8", "net/de/", "allow"),
+        (4, "https://example.net/de/80", "example.net/de/8", "block"),
+        (5, "https://com/en/", "com/en/", "block"),
+        (6, "no url at all", None, "allow"),
         (7, None, None, "allow"),
         (8, "https://www.listed.org/a/?ref=1&b=2&a=1", None, "block"),
         (8, "http://m.listed.org/a?a=1&b=2#f", None, "block"),
