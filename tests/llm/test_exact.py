@@ -276,10 +276,29 @@ def test_an_allowed_piece_does_not_hide_the_rest_of_its_run(spark):
     assert all("[REDACTED]" in masked[i] and value not in masked[i] for i in range(len(hidden)))
 
 
+def test_long_runs_match_brute_force_and_do_not_use_the_stack(spark):
+    import random
+
+    rnd = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    mixed = "".join(rnd.choice(chars) * rnd.choice((1, 1, 1, 1, 5, 40)) for _ in range(9_000))
+    cut = "".join(rnd.choice(chars) for _ in range(secrets.PIECE))
+    data = [(1, mixed), (2, f"{cut}{'a' * 7}{cut}{'b' * 60}{cut[:19]}"), (3, "a/" * 150_000), (4, "example/" + "ab1/" * 80_000), (5, ("a" * 9 + "b" * 9) * 9_000), (6, "deadbeef01234567 " * 3_000), (7, cut * 20)]
+    written = lambda spans: ",".join(f"{_NAMES[k]}:{a}:{b}" for a, k, b in spans)
+    found = secrets.scan(documents(spark, data))
+    assert found.columns == ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
+    out = {r["id"]: r["spans"] for r in found.collect()}
+    for i in (1, 2, 7):
+        assert out[i] == written(_secret_spans(data[i - 1][1])[1])
+    assert out[3] == out[4] == "" and out[6].count("hex:") == 3_000
+
+
 def test_redaction_masks_every_span_and_nothing_else(spark):
     docs = documents(spark, [(1, "a token=abcdefghijklmn b"), (2, "clean"), (3, None), (4, "AKIA" + "A" * 20 + " 0123456789abcdef0")])
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert out == {1: "a [REDACTED] b", 2: "clean", 3: None, 4: "[REDACTED] [REDACTED]"}
+    clash = docs.withColumns({c: secrets.F.lit("own") for c in ("base", "base_spans", "more", "clean", "__spans", "counts", "out")})
+    assert {tuple(r[c] for c in ("doc_id", "text", "base", "clean", "more")) for r in secrets.redact(clash).collect()} == {(i, t, "own", "own", "own") for i, t in out.items()}
     assert secrets.redact(docs).columns == docs.columns
 
 
