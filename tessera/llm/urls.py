@@ -1,15 +1,18 @@
 """URL filters (operator 9): prefix rules, then a blocked Bloom filter and an exact join. Built-in functions only.
 
 Listed canonical URLs fill a blocked Bloom filter: a hash names one 64-bit block and another sets PROBES bits in it.
-The filter is a table of at most MOST_BLOCKS rows, hence safe to broadcast. Only URLs whose bits are all set go on to
-the exact join with the list, which removes the false positives. A list too long for the filter makes it pass more
-URLs to that join; the result stays the same.
+The filter has a block for each KEYS_PER_BLOCK listed URLs, however many those are. Up to BROADCAST_BLOCKS blocks, a
+size that is known before the join, it goes to every task; a larger filter is a table that hashed URLs are joined
+with. Only URLs whose bits are all set are shuffled to the exact join with the list, which removes the false
+positives; the others are done. Copies of one listed URL may hold many rows, so a key of the list is dealt over SALTS
+places.
 
 Canonical form: lower-case host without ``www.`` or ``m.``, path without trailing ``/``, then the query without
 tracking parameters, its parameters in order; scheme and fragment go.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule, and is not listed;
-repeated rows are judged one by one; an empty table gives an empty result; other columns are not read.
+repeated rows are judged one by one; an empty table gives an empty result; a URL of any length is read whole; of rules
+that fit the longest decides, and no two are as long; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import settle
+
 #: (host, path, verdict): the longest rule that fits decides.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-MOST_BLOCKS, LEAST_BLOCKS, KEYS_PER_BLOCK, PROBES = 1 << 14, 1 << 6, 4, 4
+LEAST_BLOCKS, KEYS_PER_BLOCK, PROBES = 1 << 6, 4, 4
+#: Blocks of a filter that is still broadcast (about 50 MB in a task), and places that a listed URL is dealt over.
+BROADCAST_BLOCKS, SALTS = 1 << 20, 8
 #: Query parameters that name no other page.
 TRACKING = ("ref", "utm_source", "utm_medium", "utm_campaign", "fbclid", "gclid")
 
@@ -69,7 +76,7 @@ def _bits(key: Column) -> Column:
 def bloom_blocks(keys: DataFrame) -> tuple[DataFrame, int]:
     """The filter as (block, bits), and its number of blocks."""
     n = keys.agg(F.approx_count_distinct("key")).first()[0]
-    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << int(n // KEYS_PER_BLOCK).bit_length()))
+    blocks = max(LEAST_BLOCKS, 1 << int(n // KEYS_PER_BLOCK).bit_length())
     at = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")
     return keys.select(at, _bits(F.col("key")).alias("own")).groupBy("block").agg(F.bit_or("own").alias("bits")), blocks
 
@@ -86,9 +93,17 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     own = F.pmod(F.xxhash64("canonical"), F.lit(n))
     tested = named.select("*", name.alias("rule"), verdict.alias("ruled"), F.when(F.col("canonical").isNotNull(), own).alias("block"), _bits(F.col("canonical")).alias("own"))
-    passed = tested.join(F.broadcast(blocks), "block", "left").select("id", "host", "path", "rule", "ruled", "canonical", F.when(F.col("bits").bitwiseAND(F.col("own")) == F.col("own"), F.col("canonical")).alias("possible"))
-    exact = keys.withColumn("hit", F.lit(True))
-    done = passed.join(exact, passed["possible"] == exact["key"], "left")
+    if n <= BROADCAST_BLOCKS:
+        passed = tested.join(F.broadcast(blocks), "block", "left")
+    else:  # what is no URL has no block, and need not be sent anywhere
+        passed = tested.where("block is not null").join(blocks, "block", "left").unionByName(tested.where("block is null").withColumn("bits", F.lit(None).cast("long")))
+    possible = F.coalesce(F.col("bits").bitwiseAND(F.col("own")) == F.col("own"), F.lit(False))
+    parted = settle(passed.select("id", "host", "path", "rule", "ruled", "canonical", possible.alias("possible")), "filtered-urls")
+    places = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    exact = keys.select("key", places, F.lit(True).alias("hit"))
+    asked = parted.where("possible").withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    hits = asked.join(exact, (asked["canonical"] == exact["key"]) & (asked["salt"] == exact["salt"]), "left").select(*parted.columns, "hit")
+    done = parted.where("not possible").withColumn("hit", F.lit(False)).unionByName(hits)
     hit = F.coalesce("hit", F.lit(False))
     return done.select("id", "host", "path", "rule", F.coalesce("ruled", F.when(hit, "block").otherwise("allow")).alias("verdict"), "canonical", hit.alias("listed"))
 

@@ -398,13 +398,27 @@ def test_url_rules_and_list(spark):
     assert [r["key"] for r in urls.crawl_traps(pages).collect()] == ["listed.org/a?a=1&b=2"]
 
 
-def test_a_full_filter_passes_more_but_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(urls, "MOST_BLOCKS", 1)
-    monkeypatch.setattr(urls, "LEAST_BLOCKS", 1)
-    pages = spark.createDataFrame([(i, f"http://h.org/{i}") for i in range(400)], "page_id long, url string")
+def test_a_filter_too_large_to_broadcast_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 1)
+    pages = spark.createDataFrame([(i, f"http://h.org/{i % 400}" if i else None) for i in range(900)], "page_id long, url string")
     listed = spark.createDataFrame([(f"h.org/{i}",) for i in range(0, 400, 2)], "key string")
     out = urls.judge(pages, listed).where("verdict = 'block'").select("id").collect()
-    assert sorted(r[0] for r in out) == list(range(0, 400, 2))
+    assert sorted(r[0] for r in out) == [i for i in range(1, 900) if i % 400 % 2 == 0]
+
+
+def test_a_long_list_keeps_its_filter_and_only_possible_hits_are_shuffled(spark):
+    listed = spark.range(1_000_000).select(urls.F.concat(urls.F.lit("h.org/"), "id").alias("key"))
+    blocks, n = urls.bloom_blocks(listed)
+    assert n >= 1_000_000 / urls.KEYS_PER_BLOCK / 2 and blocks.agg(urls.F.avg(urls.F.bit_count("bits"))).first()[0] < 24
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.createDataFrame([(i, f"http://h.org/{i}") for i in range(0, 4_000_000, 40_000)], "page_id long, url string")
+        judged = urls.judge(pages, listed)
+        assert sorted(r["id"] for r in judged.where("listed").collect()) == list(range(0, 1_000_000, 40_000))
+        shuffled = [x for x in judged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "possible" in x]
+        assert any("NOT possible" in x for x in shuffled) and len(shuffled) >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # -- token counts ----------------------------------------------------------------------------------------------------
