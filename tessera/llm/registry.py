@@ -13,6 +13,8 @@ from tessera.llm.tables import read, scratch, settle
 
 #: The public vocabulary that token counts and encodings use unless told otherwise.
 VOCABULARY = "byte_bpe_50k"
+#: Places that the copies of one text are dealt over.
+COPY_SALTS = 16
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,9 +31,10 @@ def rollup_of_curation(spark: SparkSession, sf_dir: str, tokenizers: dict[str, t
     store.apply(1, docs.withColumn("op", F.lit("insert")))
     once = token_counts.distinct_lines(F.col("text"))
     store.apply(2, docs.withColumn("op", F.lit("revise")).withColumn("new", once).where("new <> text").drop("text").withColumnRenamed("new", "text"))
-    marked = docs.select("doc_id", F.sha2("text", 256).alias("mark"))
-    first = marked.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    gone = marked.join(first, "mark").where("doc_id <> first").select("doc_id", F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")])
+    marked = docs.select("doc_id", F.sha2("text", 256).alias("mark"), F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).alias("salt"))
+    copied = marked.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = copied.select("mark", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))).alias("salt"))
+    gone = marked.join(first, ["mark", "salt"]).where("doc_id <> first").select("doc_id", F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")])
     for _ in range(2):
         store.apply(3, gone)
     return store.totals()

@@ -441,6 +441,48 @@ def test_rollup_follows_inserts_revisions_and_deletes(spark, tmp_path):
     assert store.committed() == [1, 2, 3, 4]
 
 
+def test_a_small_batch_reads_little_state_and_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    store = token_counts.Rollup(spark, str(tmp_path / "store"), {"words": token_counts.count_words}, buckets=5)
+    rows = lambda op, ids: spark.createDataFrame([(op, i, f"s{(i or 0) % 3}", "en", f"word {i} " * (1 + (i or 0) % 4)) for i in ids], "op string, doc_id long, source string, lang string, text string")
+    assert store.apply(1, rows("insert", [*range(2_000), None]))
+    few = rows("revise", [5, 7, None])
+    assert store.held_for(few).count() == 3
+    buckets = {r[0] for r in few.select(store._bucket(token_counts.F.col("doc_id"))).collect()}
+    read = store.held_for(few)
+    folders = [f for f in read.inputFiles() if any(f"bucket={b}/" in f for b in buckets)]
+    assert 0 < len(folders) < len(store._history().inputFiles())
+    assert "PartitionFilters" in read._jdf.queryExecution().executedPlan().toString() and "bucket" in read._jdf.queryExecution().executedPlan().toString()
+    totals = lambda: sorted(map(tuple, store.totals().collect()))
+    assert store.apply(2, rows("delete", range(0, 2_000, 2)))
+    before, states = totals(), sorted(map(tuple, store.current().where("alive").drop("batch").collect()), key=str)
+    store.compact()
+    assert totals() == before and store._history().where("batch = 1").count() == 1_001 and store._history().count() == 1_001
+    assert sorted(map(tuple, store.current().drop("batch").collect()), key=str) == states
+    monkeypatch.setattr(token_counts, "COMPACT_EVERY", 3)
+    assert store.apply(3, rows("revise", [1, 2, 2_500])) and store._numbers("compacted") == [2, 3]
+    assert store.apply(4, rows("delete", [1, 3, 4]))
+    assert sum(t[3] for t in totals()) == 1_001 + 2 - 2
+    with pytest.raises(ValueError):
+        store.apply(0, rows("insert", [1]))
+
+
+def test_bpe_rollup_matches_brute_force(spark, tmp_path):
+    import base64
+
+    import public_tokenizers as public
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    once = {i: t for i, t in ROWS if i is not None}
+    store = token_counts.Rollup(spark, str(tmp_path / "store"), {"bpe": token_counts.count_bpe(vocabulary_path())}, buckets=2)
+    docs = documents(spark, list(once.items()))
+    store.apply(1, docs.withColumns({"op": token_counts.F.lit("insert"), "seq": token_counts.F.lit(0)}))
+    store.apply(2, docs.where("doc_id % 3 = 0").withColumns({"op": token_counts.F.lit("delete"), "seq": token_counts.F.lit(0)}))
+    left = [t or "" for i, t in once.items() if i % 3]
+    assert [tuple(r)[3:] for r in store.totals().collect()] == [(len(left), sum(len(other.encode_ordinary(t)) for t in left), sum(map(len, left)))]
+
+
 def test_a_batch_that_died_half_way_is_replaced(spark, tmp_path):
     store = token_counts.Rollup(spark, str(tmp_path / "store"), {"words": token_counts.count_words})
     rows = spark.createDataFrame([("insert", 1, "a", "en", "one two")], "op string, doc_id long, source string, lang string, text string")
