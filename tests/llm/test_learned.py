@@ -87,6 +87,44 @@ def test_the_corrected_risk_does_not_go_below_zero():
     assert negative > -0.05
 
 
+def test_the_fit_matches_a_plain_one_and_words_are_whole():
+    rnd = np.random.default_rng(2)
+    x = [(rnd.random((n, 6)) < 0.4).astype(float) for n in (30, 80)]
+    prior, steps = 0.25, 60
+    sparse = [np.nonzero(m) for m in x]
+    weights, intercept = toxicity.fit_nnpu(tuple(s[0] for s in sparse), tuple(s[1] for s in sparse), (30, 80), 6, prior, steps=steps, rate=0.05, penalty=1e-3)
+    theta = [0.0] * 6 + [float(np.log(prior / (1 - prior)))]
+    m, v, mean, clamped = [0.0] * 7, [0.0] * 7, [0.0] * 7, 0
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for t in range(1, steps + 1):
+        z = [[sum(a * b for a, b in zip(row, theta)) + theta[6] for row in part] for part in x]
+        loss = lambda part: sum(np.log(1 + np.exp(s)) for s in part) / len(part)
+        negative = loss(z[1]) - prior * loss(z[0])
+        clamped += negative < 0
+        for j in range(7):
+            own = lambda row, j=j: row[j] if j < 6 else 1.0
+            rise = sum(sigmoid(s) * own(r) for s, r in zip(z[1], x[1])) / 80 - prior * sum(sigmoid(s) * own(r) for s, r in zip(z[0], x[0])) / 30
+            pull = prior * sum((sigmoid(s) - 1) * own(r) for s, r in zip(z[0], x[0])) / 30
+            g = (pull + rise if negative >= 0 else -rise) + (1e-3 * theta[j] if j < 6 else 0)
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g
+            theta[j] -= 0.05 * (m[j] / (1 - 0.9**t)) / ((v[j] / (1 - 0.999**t)) ** 0.5 + 1e-8)
+            if t > steps // 2:
+                mean[j] += theta[j] / (steps - steps // 2)
+    assert np.allclose([*weights, intercept], mean, atol=1e-6)
+    (code, good, off), = toxicity.words_of(pa.array(["Ab cd, ab", None, "", "é CD"]))
+    assert off.tolist() == [0, 3, 3, 3, 5] and good.all() and code[0] == code[2] and code[1] == code[4] and len(set(code.tolist())) == 3
+
+
+def test_bounds_and_features_are_parameters(spark):
+    data = [(i, f"w{i % 7} {'grzblat' if i % 3 == 0 else 'calm'} w{i % 11}") for i in range(400)]
+    docs, known = documents(spark, data), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    for features in ("words", "ngrams"):
+        model = toxicity.train(docs, known, most_positive=60, most_unlabelled=200, n_features=3, features=features)
+        assert model.features == features and 0 < len(model.grams) <= 3
+        out = {r["id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+        assert sum(out[i] == int(i % 3 == 0) for i in out) / len(out) > 0.97
+
+
 def test_ngrams_of_toxicity_stay_within_words_and_texts():
     found = set()
     for code, good, _ in toxicity.grams_of(pa.array(["abcd ef", "Gh", None])):
