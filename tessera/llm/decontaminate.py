@@ -11,12 +11,14 @@ seeds whose ignored positions fall on the substitutions. The work goes in four s
 4. each alignment is verified: a window of WINDOW tokens must agree in all but MOST_SUBSTITUTED of them.
 
 The two spaced masks together hit every window of 13 tokens with any two substituted, and of 10 to 12 tokens with
-any one. Items of 5 to 9 tokens must occur whole and unchanged; shorter ones are no evidence of a leak and are not
-searched. The filter's size has an upper bound; a larger benchmark makes it pass more positions on to the join,
-never fewer.
+any one. Items of 5 to 9 tokens must occur whole and unchanged. Within other text, shorter ones are no evidence of a
+leak; with ``with_short_lines`` they are found where a line of a text has their tokens and no other. ``window_of`` states
+this for every length. The filter's size has an upper bound; a larger benchmark makes it pass more positions on to
+the join, never fewer.
 
 Defined results: null or empty texts have no tokens and no overlap; repeated rows of an id count once; copies of an
-item are items of their own; empty tables give an empty result; other columns are not read.
+item are items of their own; texts and items of any length are read whole; of several alignments the one with the
+most equal tokens counts; empty tables give an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -66,12 +68,23 @@ def seeds(toks: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return tb.mix64(total)
 
 
+def short_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First token and number of tokens of every line that has some, but fewer than SHORTEST."""
+    data, off = tb.utf8(pc.utf8_lower(texts))
+    starts, _ = tb.token_spans(data, off)
+    row = np.searchsorted(off, starts, "right")
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), starts)
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(row) > 0) | (np.diff(line) > 0)))) if len(starts) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(starts)))
+    return first[size < SHORTEST], size[size < SHORTEST]
+
+
 def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     step = (hashes >> np.uint64(32)) | np.uint64(1)
     return [((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def benchmark_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def benchmark_seeds(items: DataFrame, id_col: str, text_col: str, shortest: int = SHORTEST) -> DataFrame:
     """(item_id, tokens, hash, q): one row for every seed of every item; tokens are packed 64-bit hashes."""
 
     def fn(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -79,7 +92,7 @@ def benchmark_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows: list[tuple] = []
         for r, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             own, n = toks[lo:hi], hi - lo
-            if n < SHORTEST:
+            if n < shortest:
                 continue
             for mask in MASKS if n > max(m[-1] for m in MASKS) else (tuple(range(n)),):
                 rows += [(r, own.tobytes(), h, q) for q, h in enumerate(seeds(own, mask).view(np.int64).tolist())]
@@ -106,7 +119,8 @@ def seed_filter(bench: DataFrame) -> tuple[np.ndarray, list[int]]:
 def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, packed: np.ndarray, short: list[int]) -> DataFrame:
     """(id, tokens, at, hash): stretches of a text around seeds that pass the filter."""
     shared, bits = docs.sparkSession.sparkContext.broadcast(packed), len(packed) * 8
-    masks = (*MASKS, *(tuple(range(n)) for n in short))
+    masks = (*MASKS, *(tuple(range(n)) for n in short if n >= SHORTEST))
+    lines = [n for n in short if n < SHORTEST]
     state: dict[str, np.ndarray] = {}
 
     def fn(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
@@ -124,14 +138,24 @@ def _neighbourhoods(docs: DataFrame, id_col: str, text_col: str, packed: np.ndar
             found_at.append(at)
             found.append(h[at])
         at, hashes = np.concatenate(found_at), np.concatenate(found)
-        if not len(at):
+        whole: list[tuple] = []
+        if lines:
+            first, size = short_lines(texts)
+            for n in lines:
+                for a in first[size == n].tolist():
+                    own = toks[a : a + n]
+                    h = seeds(own, tuple(range(n)))
+                    if all(state["bits"][p[0]] for p in _probes(h, bits)):
+                        r = int(np.searchsorted(bounds, a, "right")) - 1
+                        whole.append((r, int(a - bounds[r]), own.tobytes(), [0], h.view(np.int64).tolist()))
+        if not len(at) and not whole:
             return None
         order = np.argsort(at, kind="stable")
         at, hashes = at[order], hashes[order]
         row = np.searchsorted(bounds, at, "right") - 1
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(row) > 0) | (np.diff(at) > 2 * AROUND))))
-        out: list[tuple] = []
-        for lo, hi in zip(new, [*new[1:], len(at)], strict=True):
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(row) > 0) | (np.diff(at) > 2 * AROUND)))) if len(at) else at
+        out: list[tuple] = whole
+        for lo, hi in zip(new, np.append(new, len(at))[1:], strict=True):
             r = row[lo]
             a, b = max(bounds[r], at[lo] - AROUND), min(bounds[r + 1], at[hi - 1] + AROUND)
             out.append((r, int(a - bounds[r]), toks[a:b].tobytes(), (at[lo:hi] - a).tolist(), hashes[lo:hi].view(np.int64).tolist()))
@@ -155,13 +179,13 @@ def agreement(own: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, in
     return lo + int(good[0]), lo + int(good[-1]) + length, int(equal[tb.covered(good, length, hi - lo)].sum())
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", with_short_lines: bool = False) -> DataFrame:
     """(id, item_id, first_token, last_token, n_equal): verified overlaps, one row for each text and item.
 
     first_token and last_token (exclusive) bound the overlaps in the text; n_equal is the most tokens that agree on
     one alignment.
     """
-    bench = settle(benchmark_seeds(items, item_id_col, item_text_col).distinct(), "benchmark-seeds")
+    bench = settle(benchmark_seeds(items, item_id_col, item_text_col, 1 if with_short_lines else SHORTEST).distinct(), "benchmark-seeds")
     near = settle(_neighbourhoods(docs, id_col, text_col, *seed_filter(bench)), "seed-hits")
     stretch = near.select(F.xxhash64("id", "start", "stretch").alias("s"), "id", "start", "stretch", "at", "hash")
     hits = stretch.select("s", F.explode(F.arrays_zip("at", "hash")).alias("z")).select("s", "z.at", "z.hash")

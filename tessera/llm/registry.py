@@ -61,7 +61,7 @@ FROM kept GROUP BY source, lang
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), with_short_lines=True)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -11,8 +11,9 @@ shard's rows meet; a broadcast of all trees would grow with the corpus. A shard
 not all its pairs, and components over all shards follow by star contraction.
 
 Defined results: a null or empty text has no word and the fingerprint zero; a text of fewer words than a shingle has
-one shingle of all its words; repeated rows each give a row; ids that are null never name a component unless it has
-no other; an empty table gives an empty result; other columns are not read.
+one shingle of all its words; a text of any length is read whole; repeated rows each give a row; ids that are null
+never name a component unless it has no other; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from tessera.llm.tables import settle
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Shingles whose bits are counted at once, and the size of a shard from which whole arrays beat single steps.
 _CHUNK, _MANY = 1 << 15, 24
+#: Rows to drop that are still broadcast (16 bytes each).
+FEW = 250_000
 
 
 def fingerprint_array(texts: pa.Array, k: int = SHINGLE) -> np.ndarray:
@@ -224,10 +227,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (null last), then the smallest row hash."""
+    """``docs`` with one row of each component: that of the smallest id (null last), then the smallest row hash.
+
+    What is decided over fingerprints and 128-bit row hashes is the rows to drop, and which repeated rows stay once.
+    Up to FEW of these go to every task and the texts stay where they are; more of them are joined by shuffle.
+    """
     maps = {f.name for f in docs.schema.fields if isinstance(f.dataType, MapType)}  # which have no hash of their own
-    hashed = F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in docs.columns])
-    marks = settle(fingerprints(docs, id_col, text_col, F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), hashed.alias("row"))), "marks")
+    plain = [F.to_json(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit("second"), *plain).alias("b"))
+    name = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), row.alias("row"))
+    marks = settle(fingerprints(docs, id_col, text_col, name), "marks")
     placed = marks.join(components(marks.select(F.col("id.id").alias("id"), "fp")).select("fp", "root"), "fp")
-    stay = placed.groupBy("root").agg(F.min("id").alias("least")).select(F.col("least.row").alias("__row_hash")).distinct()
-    return docs.withColumn("__row_hash", hashed).join(stay, "__row_hash", "left_semi").dropDuplicates(["__row_hash"]).drop("__row_hash")
+    stay = placed.groupBy("root").agg(F.min("id").alias("id")).select("id.row.a", "id.row.b", F.lit(True).alias("stays"))
+    rows = marks.groupBy(F.col("id.row.a").alias("a"), F.col("id.row.b").alias("b")).agg((F.count(F.lit(1)) > 1).alias("again"))
+    special = settle(rows.join(stay, ["a", "b"], "left").where("stays is null or again").select("a", "b", F.col("stays").isNotNull().alias("once")), "dropped-rows")
+    held = special if special.count() > FEW else F.broadcast(special)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row.alias("key"))
+    same = (F.col("key.a") == F.col("a")) & (F.col("key.b") == F.col("b"))
+    whole = keyed.join(held.select("a", "b"), same, "left_anti").select("row.*")
+    once = keyed.join(held.where("once"), same).groupBy("a", "b").agg(F.first("row").alias("row")).select("row.*")
+    return whole.unionByName(once)

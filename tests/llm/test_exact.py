@@ -371,6 +371,45 @@ def test_decontamination_finds_items_of_unspaced_scripts(spark):
     assert {(r["id"], r["item_id"]) for r in decontaminate.overlaps(documents(spark, data), items).collect()} == {(10, 1), (11, 1), (12, 2), (13, 3)}
 
 
+def test_short_items_are_found_as_whole_lines(spark):
+    items = spark.createDataFrame([(1, "Too short."), (2, "yes"), (3, "")], "item_id long, text string")
+    data = [(10, "too short"), (11, "x\n - Too, SHORT!\ny"), (12, "it is too short"), (13, "yes\nyes"), (14, "yes too short"), (15, None)]
+    found = decontaminate.overlaps(documents(spark, data), items, with_short_lines=True).collect()
+    assert sorted((r["id"], r["item_id"]) for r in found) == [(10, 1), (11, 1), (13, 2)]
+    assert decontaminate.overlaps(documents(spark, data), items).count() == 0
+
+
+def test_decontamination_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(12)
+    word = lambda: rnd.choice("abcdefghij") + rnd.choice("klmno")
+    items = [(i, [word() + str(rnd.randrange(40)) for _ in range(rnd.choice((6, 9, 10, 12, 13, 20, 40)))]) for i in range(25)]
+    data = []
+    for i in range(250):
+        own = [word() for _ in range(rnd.randrange(60))]
+        if rnd.random() < 0.7:
+            _, item = rnd.choice(items)
+            lo = rnd.randrange(len(item))
+            piece = item[lo if rnd.random() < 0.3 else 0 :][: rnd.choice((8, 13, 20, 50))]
+            for _ in range(rnd.randrange(4)):
+                piece = list(piece)
+                piece[rnd.randrange(len(piece))] = "changed"
+            at = rnd.randrange(len(own) + 1)
+            own = own[:at] + list(piece) + own[at:]
+        data.append((i, " ".join(own)))
+    expected = set()
+    for i, text in data:
+        own = text.split()
+        for k, item in items:
+            length, most = decontaminate.window_of(len(item))
+            if any(sum(a != b for a, b in zip(own[p : p + length], item[q : q + length])) <= most for p in range(len(own) - length + 1) for q in range(len(item) - length + 1)):
+                expected.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    out = decontaminate.overlaps(documents(spark, data), bench).collect()
+    assert len(expected) > 60 and {(r["id"], r["item_id"]) for r in out} == expected
+
+
 # -- URL filters -----------------------------------------------------------------------------------------------------
 
 
