@@ -2,7 +2,9 @@
 
 Every stage but the last returns the columns of ``documents``: rejected documents go, one document of each
 near-duplicate group stays, documents that overlap the benchmark go, secrets are masked. The last stage encodes what
-is left. Other columns pass through untouched; a table without rows gives a result without rows.
+is left. Every stage takes null texts and ids, empty and very long texts, ties and repeated rows as its operator's
+docstring states: a null text fails the quality rules; of repeated rows and of copies one stays; other columns,
+whatever their names, pass through untouched; a table without rows gives a result without rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from tessera.llm.registry import vocabulary_path
 from tessera.llm.tables import read, settle
 from tessera.llm.textblocks import ROW
 
-_KEY = "__text_sha256"
+#: Texts to drop that are still broadcast (32 bytes each).
+FEW = 250_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that overlap a benchmark item go. They are known by their text, since ids may be null."""
-    keyed = docs.withColumn(_KEY, F.sha2("text", 256))
-    leaks = decontaminate.overlaps(keyed.select(_KEY, "text"), read(spark, sf_dir, "benchmark"), id_col=_KEY)
-    return keyed.join(leaks.select(F.col("id").alias(_KEY)).distinct(), _KEY, "left_anti").select(*docs.columns)
+    """Operator 2: documents that overlap a benchmark item go. They are known by their text, since ids may be null.
+
+    Up to FEW hashes of such texts go to every task, and the other texts stay where they are; more are joined by shuffle.
+    """
+    mark = F.unhex(F.sha2(F.col("text"), 256))
+    leaks = decontaminate.overlaps(docs.select(mark.alias("mark"), "text"), read(spark, sf_dir, "benchmark"), id_col="mark", with_short_lines=True)
+    gone = settle(leaks.select("id").distinct(), "leaks")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("mark"))
+    return keyed.join(gone if gone.count() > FEW else F.broadcast(gone), F.col("mark") == F.col("id"), "left_anti").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
