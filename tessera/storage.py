@@ -33,9 +33,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: it is computed once, its lineage ends here,
-    and a lost executor costs nothing that was written."""
-    path = scratch(df.sparkSession, name)
+    and a lost executor costs nothing that was written.
+
+    With ``by`` it is a table in as many buckets of these columns as a shuffle has partitions: a later join or group by
+    them reads it without another shuffle.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    if by is not None:
+        table = f"settled_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, *by).option("path", path).format("parquet").saveAsTable(table)
+        return spark.table(table)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
