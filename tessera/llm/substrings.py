@@ -1,7 +1,7 @@
 """Substring dedup (operator 7) with repeated-phrase automata.
 
 A window is WINDOW consecutive words. A word goes if some window over it also starts in a document of a smaller id.
-The work goes in four steps; only the last two decide, and they compare words, not hashes:
+The work goes in four steps; the first two only nominate, by hashes, and the last two compare words:
 
 1. *Candidates.* Of each window, the least of its ANCHOR-word hashes is its anchor, which two equal windows share.
    Anchors are about a quarter as many as windows. Their 32-bit prints, packed by shard, are shuffled; a print that
@@ -10,18 +10,21 @@ The work goes in four steps; only the last two decide, and they compare words, n
    piece is a passage of WINDOW words or a few more; equal windows always lie in passages of one key. A key that a
    sample finds to have over CROWDED passages, as of a line that many texts go on from in their own way, is worked
    on by window: each of its windows is a passage, keyed by the hash of all its words, so equal ones still meet.
-3. *Automata.* Passages meet by key. Each task compiles the recurring phrases of a bounded number of keys into an
-   Aho-Corasick automaton over words, a shard of the whole, streams the passages of these keys through it, and so
-   finds every occurrence of every phrase, and the smallest document id among them.
-4. *Removal.* Each passage's smallest ids go back to its documents, which drop the words of windows that a smaller
-   id has.
+3. *Confirmed phrases.* Passages meet by key, and word by word: a passage that documents of several ids have, or that
+   shares windows with others of its key, is a phrase, with the smallest id that has each of its windows.
+4. *Automata.* The phrases are dealt to the texts that they were nominated for. Each slice of texts is a shard: its
+   phrases, PHRASES at a time, are compiled into an Aho-Corasick automaton over words, and every open text of the
+   slice is streamed through it, whole. Where a phrase occurs, the words of those of its windows go that a smaller id
+   has. A nomination by a hash that two passages share occurs nowhere, so it removes nothing.
 
 Copies are combined before every shuffle that could gather them: a passage travels once a task with the smallest id
-it was seen with, so a group of copies that holds a third of all rows is not one task's work.
+it was seen with, so a group of copies that holds a third of all rows is not one task's work. Texts are written in
+buckets of their rows, so they are shuffled once.
 
-Defined results: a null text has no words; documents with fewer than WINDOW words lose none; a null id counts as
-larger than any other; rows of one id never take words from each other, however often the id repeats; an empty table
-gives an empty result; other columns are not read.
+Defined results: a null text has no words; a text or word of any length is read whole; documents with fewer than
+WINDOW words lose none; a null id counts as larger than any other, and 2**63 - 1 as null; ids are integers; rows of
+one id never take words from each other, however often the id repeats; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ from tessera.llm.tables import settle
 WINDOW = 13
 #: Words of the hashes that pick anchors (step 1) and keys (step 2).
 ANCHOR, KEY = 8, 5
-#: Characters of all texts for each shard of prints, and the bounds of the number of shards.
-CHARS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 48_000_000, 8, 65_536
+#: Characters of all texts for each shard of prints, and the least number of shards.
+CHARS_PER_SHARD, LEAST_SHARDS = 48_000_000, 8
 #: Passages gathered before an automaton is compiled, and phrases that one automaton holds at most.
 PASSAGES, PHRASES = 6_000, 40_000
 #: Distinct passages beyond which a key is divided, estimated from one text in SAMPLE and all of over LONG words.
@@ -86,38 +89,38 @@ class _Block:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text): ``row`` names a row by its content, id is what decides."""
+    """(row, id, text): ``row`` and id name a row by its content, id is what decides."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
 
 
 def _packed_prints(rows: DataFrame, shards: int) -> DataFrame:
-    """(shard, prints, rows, sizes): the prints of a slice of texts in one shard, text by text."""
+    """(shard, prints, rows, ids, sizes): the prints of a slice of texts in one shard, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = tb.utf8(batch.column(1))
+            _, offsets = tb.utf8(batch.column(2))
             for lo, hi in tb.row_slices(offsets, 8 * tb.BLOCK_BYTES):
-                names = batch.column(0).slice(lo, hi - lo).to_numpy()
-                block = _Block(batch.column(1).slice(lo, hi - lo))
+                names, ids = (batch.column(k).slice(lo, hi - lo).to_numpy() for k in range(2))
+                block = _Block(batch.column(2).slice(lo, hi - lo))
                 shard, text = block.shards(shards), np.searchsorted(block.bounds, block.anchors, "right") - 1
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                out: list[tuple[int, bytes, bytes, bytes]] = []
+                out: list[tuple[int, bytes, bytes, bytes, bytes]] = []
                 for s in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[s] : cuts[s + 1]]
                     who, sizes = np.unique(text[own], return_counts=True)
-                    out.append((int(s), block.prints[own].astype("<u4").tobytes(), names[who].astype("<i8").tobytes(), sizes.astype("<u4").tobytes()))
+                    out.append((int(s), block.prints[own].astype("<u4").tobytes(), names[who].astype("<i8").tobytes(), ids[who].astype("<i8").tobytes(), sizes.astype("<u4").tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "prints", "rows", "sizes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "prints", "rows", "ids", "sizes"])
 
-    return rows.select("row", "text").mapInArrow(run, "shard int, prints binary, rows binary, sizes binary")
+    return rows.select("row", "id", "text").mapInArrow(run, "shard int, prints binary, rows binary, ids binary, sizes binary")
 
 
 def _marks_of(table: pa.Table) -> pa.Table:
-    """(row, shard, bits) for the texts of one shard with a print that another text has, one bit a print."""
+    """(row, id, shard, bits) for the texts of one shard with a print that another text has, one bit a print."""
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    prints, rows, sizes = join("prints", "<u4"), join("rows", "<i8"), join("sizes", "<u4").astype(np.int64)
+    prints, rows, ids, sizes = join("prints", "<u4"), join("rows", "<i8"), join("ids", "<i8"), join("sizes", "<u4").astype(np.int64)
     text = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     order = np.argsort(prints, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], prints[order][1:] != prints[order][:-1])))
@@ -134,15 +137,15 @@ def _marks_of(table: pa.Table) -> pa.Table:
     packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(bits))])
     some = np.flatnonzero(np.add.reduceat(marked, begin) > 0)
     shard = pa.array(np.full(len(some), table.column("shard")[0].as_py(), dtype=np.int32))
-    return pa.table({"row": pa.array(rows[some]), "shard": shard, "bits": packed.take(pa.array(some))})
+    return pa.table({"row": pa.array(rows[some]), "id": pa.array(ids[some]), "shard": shard, "bits": packed.take(pa.array(some))})
 
 
 def _marked_texts(rows: DataFrame, shards: int) -> DataFrame:
     """(row, id, n_words, kept, text, candidates): texts without a marked anchor are done and have no ``candidates``;
     of the others that is one bit a word, set where a candidate window starts."""
-    marks = _packed_prints(rows, shards).groupBy("shard").applyInArrow(_marks_of, "row long, shard int, bits binary")
-    by_row = marks.groupBy(F.col("row").alias("m_row")).agg(F.collect_set(F.struct("shard", "bits")).alias("marks"))
-    joined = rows.join(by_row, F.col("row") == F.col("m_row"), "left").select("row", "id", "text", "marks")
+    marks = _packed_prints(rows, shards).groupBy("shard").applyInArrow(_marks_of, "row long, id long, shard int, bits binary")
+    by_row = marks.groupBy(F.col("row").alias("m_row"), F.col("id").alias("m_id")).agg(F.collect_set(F.struct("shard", "bits")).alias("marks"))
+    joined = rows.join(by_row, (F.col("row") == F.col("m_row")) & (F.col("id") == F.col("m_id")), "left").select("row", "id", "text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,56 +217,55 @@ def _passages(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
     return texts.select("row", "id", "text", "candidates").mapInArrow(run, "row long, id long, at int, key long, passage string")
 
 
+def _automata(phrases: list[tuple[int, ...]]) -> Iterator[tuple[int, ahocorasick.Automaton]]:
+    """Automata of PHRASES phrases at most, one after the other, each with the number of its first phrase."""
+    for lo in range(0, len(phrases), PHRASES):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for n, phrase in enumerate(phrases[lo : lo + PHRASES], lo):
+            automaton.add_word(phrase, n)
+        automaton.make_automaton()
+        yield lo, automaton
+
+
 def smallest_ids(keys: list[int], passages: list[bytes], ids: list[int]) -> list[np.ndarray]:
     """For each distinct passage, the smallest id that has the window at each of its words.
 
-    The phrases of a key with one passage are that passage; of a key with more, their windows. An automaton holds
-    PHRASES phrases at most; more take more automata over the same passages.
+    The windows of a key's passages are streamed through automata of the same windows; a key with one passage has no
+    other to share windows with.
     """
-    number: dict[bytes, int] = {}
-    texts = [tuple(number.setdefault(w, len(number)) for w in p.split(b" ")) for p in passages]
     alone: dict[int, int] = {}
     for k in keys:
         alone[k] = alone.get(k, 0) + 1
-    phrases: dict[tuple[int, ...], int] = {}
-    for k, t in zip(keys, texts, strict=True):
-        for phrase in [t] if alone[k] == 1 else [t[i : i + WINDOW] for i in range(len(t) - WINDOW + 1)]:
-            phrases.setdefault(phrase, len(phrases))
-    out = [np.full(len(t) - WINDOW + 1, _LAST, dtype=np.int64) for t in texts]
-    every = list(phrases)
-    for lo in range(0, len(every), PHRASES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for n, phrase in enumerate(every[lo : lo + PHRASES]):
-            automaton.add_word(phrase, n)
-        automaton.make_automaton()
+    number: dict[bytes, int] = {}
+    texts = [() if alone[k] == 1 else tuple(number.setdefault(w, len(number)) for w in p.split(b" ")) for k, p in zip(keys, passages, strict=True)]
+    out = [np.full(p.count(b" ") + 2 - WINDOW, i, dtype=np.int64) for p, i in zip(passages, ids, strict=True)]
+    phrases = list({t[i : i + WINDOW]: None for t in texts for i in range(len(t) - WINDOW + 1)})
+    for _, automaton in _automata(phrases):
         least: dict[int, int] = {}
-        hits = []
-        for s, t in enumerate(texts):
-            own = list(automaton.iter(t))
-            hits.append(own)
+        hits = [list(automaton.iter(t)) if t else [] for t in texts]
+        for s, own in enumerate(hits):
             for _, n in own:
                 if ids[s] < least.get(n, _LAST + 1):
                     least[n] = ids[s]
         for s, own in enumerate(hits):
             for end, n in own:
-                length = len(every[lo + n])
-                out[s][end - length + 1 : end - WINDOW + 2] = least[n]
+                out[s][end - WINDOW + 1] = least[n]
     return out
 
 
 def _located(passages: DataFrame) -> DataFrame:
-    """(passage_id, least): for each recurring passage the packed smallest ids of its windows."""
+    """(passage_id, passage, least, smallest): each confirmed phrase with the packed smallest ids of its windows."""
     seen = passages.groupBy("key", "passage").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shards = seen.repartition("key").sortWithinPartitions("key").select("key", "passage", "lo", "hi", F.xxhash64("passage").alias("passage_id"))
+    shards = seen.repartition("key").sortWithinPartitions("key").select("key", "passage", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(part: pa.Table) -> pa.RecordBatch:
-            keys, texts, lo, hi, names = (part.column(k) for k in range(5))
+            keys, texts, lo, hi = (part.column(k) for k in range(4))
             ids = lo.to_numpy()
             least = smallest_ids(keys.to_pylist(), [p.encode() for p in texts.to_pylist()], ids.tolist())
             several = hi.to_numpy() != ids
             keep = [k for k, m in enumerate(least) if several[k] or (m < ids[k]).any()]
-            return pa.RecordBatch.from_arrays([names.take(pa.array(keep, pa.int64())).combine_chunks(), pa.array([least[k].astype("<i8").tobytes() for k in keep], pa.binary())], ["passage_id", "least"])
+            return pa.RecordBatch.from_arrays([texts.take(pa.array(keep, pa.int64())).combine_chunks(), pa.array([least[k].astype("<i8").tobytes() for k in keep], pa.binary()), pa.array([int(least[k].min()) for k in keep], pa.int64())], ["passage", "least", "smallest"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -282,54 +284,57 @@ def _located(passages: DataFrame) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return shards.mapInArrow(run, "passage_id long, least binary")
+    return shards.mapInArrow(run, "passage string, least binary, smallest long").select(F.xxhash64("passage").alias("passage_id"), "*")
 
 
-def _removed(passages: DataFrame, located: DataFrame) -> DataFrame:
-    """(row, starts): where the windows of a text start that a smaller id has."""
-    placed = passages.select("row", "id", "at", F.xxhash64("passage").alias("passage_id")).join(located, "passage_id").select("row", "id", "at", "least")
+def _nominated(passages: DataFrame, located: DataFrame) -> DataFrame:
+    """(row, id, phrases): for each text the confirmed phrases that it may have and that a smaller id has."""
+    asked = passages.select("row", "id", F.xxhash64("passage").alias("passage_id"))
+    found = asked.join(located, "passage_id").where(F.col("smallest") < F.col("id"))
+    return found.groupBy("row", "id").agg(F.collect_set(F.struct("passage", "least")).alias("phrases"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = batch.column(3).to_pylist()
-            sizes = np.array([len(p) // 8 for p in packed], dtype=np.int64)
-            least = np.frombuffer(b"".join(packed), "<i8")
-            which = np.repeat(np.arange(len(sizes)), sizes)
-            start = batch.column(2).to_numpy()[which] + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            goes = least < batch.column(1).to_numpy()[which]
-            gone = np.bincount(which[goes], minlength=len(sizes))
-            some = np.flatnonzero(gone)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(gone[some]))).astype(np.int32)), pa.array(start[goes].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], ["row", "starts"])
 
-    return placed.mapInArrow(run, "row long, starts array<int>").groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+def _cut(texts: list[str], ids: list[int], phrases: list[list[dict] | None]) -> list[np.ndarray]:
+    """Which words of each text go: all texts are streamed through the automata of all their phrases."""
+    number: dict[str, int] = {}  # from 1; 0 is any word that no phrase has
+    known: dict[str, bytes] = {p["passage"]: p["least"] for own in phrases for p in own or ()}
+    every = [tuple(number.setdefault(w, len(number) + 1) for w in p.split(" ")) for p in known]
+    least = [np.frombuffer(x, "<i8") for x in known.values()]
+    words = [tuple(number.get(w, 0) for w in t.split(" ")) if t else () for t in texts]
+    steps = [np.zeros(len(w) + 1, dtype=np.int32) for w in words]
+    for _, automaton in _automata(every):
+        for s, own in enumerate(words):
+            for end, n in automaton.iter(own) if own else ():
+                begin = end - len(every[n]) + 1
+                goes = begin + np.flatnonzero(least[n] < ids[s])
+                steps[s][goes] += 1
+                steps[s][goes + WINDOW] -= 1
+    return [np.cumsum(x[:-1]) > 0 for x in steps]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept) of every row; ``kept`` is the words that stay, joined by one space."""
     rows = _keyed(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(_LAST)))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(min(MOST_SHARDS, max(LEAST_SHARDS, chars // CHARS_PER_SHARD)))
-    texts = settle(_marked_texts(rows, shards), "marked-texts")
+    shards = int(max(LEAST_SHARDS, chars // CHARS_PER_SHARD))
+    texts = settle(_marked_texts(rows, shards), "marked-texts", ["row", "id"])
     open_texts = texts.where("candidates is not null")
     passages = _passages(open_texts, _crowded(open_texts))
     located = settle(_located(passages), "located")
-    gone = _removed(passages, located)
-    cut = open_texts.select("row", "id", "n_words", "text").join(gone.withColumnRenamed("row", "g_row"), F.col("row") == F.col("g_row"), "left").select("id", "n_words", "text", "starts")
+    phrases = _nominated(passages, located).select(F.col("row").alias("p_row"), F.col("id").alias("p_id"), "phrases")
+    cut = open_texts.select("row", "id", "n_words", "text").join(phrases, (F.col("row") == F.col("p_row")) & (F.col("id") == F.col("p_id")), "left").select("id", "n_words", "text", "phrases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for text, n, starts in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if starts is None:
-                    removed.append(0)
-                    kept.append(text)
-                    continue
-                out = tb.covered(np.unique(np.array(starts, dtype=np.int64)), WINDOW, n)
-                words = text.split(" ")
-                removed.append(int(out.sum()))
-                kept.append(" ".join([words[i] for i in np.flatnonzero(~out)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+            _, offsets = tb.utf8(batch.column(2))
+            for lo, hi in tb.row_slices(offsets, 4 * tb.BLOCK_BYTES):
+                part = batch.slice(lo, hi - lo)
+                whole = part.column(2).to_pylist()
+                removed, kept = [], []
+                for text, out in zip(whole, _cut(whole, part.column(0).to_pylist(), part.column(3).to_pylist()), strict=True):
+                    removed.append(int(out.sum()))
+                    kept.append(" ".join([w for w, gone in zip(text.split(" "), out.tolist(), strict=True) if not gone]) if removed[-1] else text)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     done = cut.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
     whole = texts.where("candidates is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
