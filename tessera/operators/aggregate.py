@@ -31,9 +31,32 @@ def status_counts(files: DataFrame) -> DataFrame:
 
 
 def rolling(requests: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
-    """Each request with the number, mean duration and error rate of those of its group in the trailing seconds."""
-    trailing = Window.partitionBy(*by).orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return requests.withColumns({"n": F.count(F.lit(1)).over(trailing), "avg_duration": F.avg("duration").over(trailing), "error_rate": F.avg(F.col("error").cast("double")).over(trailing)})
+    """Each request with the number, mean duration and error rate of those of its group in the trailing seconds.
+
+    Time is cut into buckets of that length, and each request also goes to the next bucket, as context only: a
+    trailing range lies in one bucket then, and a frequent group is many tasks' work.
+    """
+    at = F.col("ts").cast("timestamp").cast("double")
+    bucket = F.floor(at / seconds)
+    copies = requests.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__copy"))
+    trailing = Window.partitionBy(*by, "__bucket").orderBy(at).rangeBetween(-seconds, 0)
+    counted = copies.withColumns({"n": F.count(F.lit(1)).over(trailing), "avg_duration": F.avg("duration").over(trailing), "error_rate": F.avg(F.col("error").cast("double")).over(trailing)})
+    return counted.where("__copy = 0").drop("__copy", "__bucket")
+
+
+def queue_stats(tasks: DataFrame, most_tries: int = 3) -> DataFrame:
+    """One row for tasks (status, tries): how many wait, run, are done, or failed for good."""
+    failed = (F.col("status") == "failed") & (F.col("tries") >= most_tries)
+    waits = (F.col("status") == "pending") | ((F.col("status") == "failed") & ~failed)
+    return tasks.agg(F.count_if(waits).alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(failed).alias("failed"), F.count(F.lit(1)).alias("total"))
+
+
+def top_overlap(candidate: DataFrame, baseline: DataFrame, top: int) -> DataFrame:
+    """(scenario, overlap): of the first ``top`` names of each scenario (name, place), the share that both have."""
+    first = [df.where(F.col("place") <= top).select("scenario", "name").distinct() for df in (candidate, baseline)]
+    counts = first[1].groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
+    both = first[0].join(first[1], ["scenario", "name"]).groupBy("scenario").agg(F.count(F.lit(1)).alias("shared"))
+    return counts.join(both, "scenario", "left").select("scenario", (F.coalesce("shared", F.lit(0)) / F.col("n")).alias("overlap"))
 
 
 def over_limit(requests: DataFrame, key: str = "ip", seconds: int = 60, most: int = 10) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.storage import settle
 
+#: Tables of visited nodes that a search unites before it writes them as one.
+MERGED = 16
+
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = True) -> DataFrame:
     """(id, depth): every node within ``max_depth`` steps of the seeds (column id), which have depth 0."""
@@ -44,31 +47,48 @@ def impact_summary(affected: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(into)).select("n_nodes", "n_files", "depth", F.coalesce("c", F.lit(1.0)).alias("confidence"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 50) -> DataFrame:
-    """(step, id) along a shortest directed path, from step 0; without a path no rows. Of equally short ones, each
-    node is reached from its parent of the smallest id."""
+def shortest_paths(edges: DataFrame, source: str, targets: list[str]) -> DataFrame:
+    """(target, step, id) along a shortest directed path to each target that can be reached, from step 0.
+
+    One search serves all targets and ends when they are found or nothing new is. Of equally short paths, each node
+    is reached from its parent of the smallest id. Paths have no greatest length: what was visited is kept in a few
+    tables, since the latest ones are merged as they come.
+    """
     spark = edges.sparkSession
     steps = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("next"))
     levels = [settle(spark.createDataFrame([(source, None)], "id string, parent string"), "frontier")]
-    depth = 0
-    while source != target and depth < max_depth:
-        visited = reduce(DataFrame.unionByName, levels).select("id")
+    visited, open_targets, places = [levels[0].select("id")], set(targets) - {source}, {source: 0} if source in targets else {}
+    while open_targets:
         found = levels[-1].select("id").join(steps, "id").groupBy(F.col("next").alias("id")).agg(F.min("id").alias("parent"))
-        level = settle(found.join(visited, "id", "left_anti"), "frontier")
-        depth += 1
-        if level.isEmpty():
-            return spark.createDataFrame([], "step int, id string")
-        levels.append(level)
-        if not level.where(F.col("id") == target).isEmpty():
+        level = settle(found.join(reduce(DataFrame.unionByName, visited), "id", "left_anti"), "frontier")
+        n, hits = level.agg(F.count(F.lit(1)), F.collect_list(F.when(F.col("id").isin(*open_targets), F.col("id")))).first()
+        if not n:
             break
-    path, at = [], target
-    for level in reversed(levels):  # one row a level
-        row = level.where(F.col("id") == at).first()
-        if row is None:
-            return spark.createDataFrame([], "step int, id string")
-        path.append(at)
-        at = row["parent"]
-    return spark.createDataFrame(list(enumerate(reversed(path))), "step int, id string")
+        places |= dict.fromkeys(hits, len(levels))
+        open_targets -= set(hits)
+        levels.append(level)
+        visited.append(level.select("id"))
+        if len(visited) > MERGED:
+            visited = [settle(reduce(DataFrame.unionByName, visited), "visited")]
+    rows, at = [(t, last, t) for t, last in places.items()], {t: t for t in places}
+    for k in range(len(levels) - 1, 0, -1):  # one row a target and level
+        asked = {at[t] for t, last in places.items() if last >= k}
+        up = dict(levels[k].where(F.col("id").isin(*asked)).select("id", "parent").collect()) if asked else {}
+        for t, last in places.items():
+            if last >= k:
+                at[t] = up[at[t]]
+                rows.append((t, k - 1, at[t]))
+    return spark.createDataFrame(rows, "target string, step int, id string")
+
+
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(step, id) along a shortest directed path, from step 0; without a path no rows."""
+    return shortest_paths(edges, source, [target]).select("step", "id")
+
+
+def path_summary(path: DataFrame) -> DataFrame:
+    """One row: whether there is a path, and how many edges it has (0 without one)."""
+    return path.agg((F.count(F.lit(1)) > 0).alias("found"), F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("length"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -140,6 +160,13 @@ def graph_view(nodes: DataFrame, edges: DataFrame, kind: str | None = None, max_
     return shown.select("id", "name", "kind", "file_path", size.alias("size")), induced(shown, edges)
 
 
+def view_totals(nodes: DataFrame, kind: str | None = None, max_nodes: int = 1000) -> DataFrame:
+    """One row: all nodes of the kind, how many a view shows, and whether it leaves some out."""
+    own = nodes.where(F.col("kind") == kind) if kind else nodes
+    n = own.agg(F.count(F.lit(1)).alias("total"))
+    return n.select("total", F.least("total", F.lit(max_nodes)).alias("shown"), (F.col("total") > max_nodes).alias("truncated"))
+
+
 def complex_functions(nodes: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     own = nodes.where(F.col("kind").isin("function", "method") & F.col("complexity").isNotNull())
     return own.orderBy(F.desc("complexity"), "seq").offset(offset).limit(limit)

@@ -137,3 +137,17 @@ def node_details(nodes: DataFrame, edges: DataFrame, node: str, repository_id: s
         first = found.orderBy("seq").limit(most).agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("x"))
         out = out.crossJoin(F.broadcast(first.select(F.transform("x", lambda s: s["id"]).alias(name)))).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias(f"{name}_total"))))
     return out
+
+
+def edges_of(edges: DataFrame, source_id: str | None = None, target_id: str | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Edges with these ends and kinds; what is not given is not tested."""
+    own = edges
+    for column, value in (("source_id", source_id), ("target_id", target_id)):
+        own = own.where(F.col(column) == value) if value is not None else own
+    return own.where(F.col("kind").isin(*kinds)) if kinds else own
+
+
+def pattern(nodes: DataFrame, edges: DataFrame, source: NodeFilter, kinds: tuple[str, ...] | None, target: NodeFilter) -> DataFrame:
+    """(source, kind, target): pairs of nodes that pass the two filters, with an edge of these kinds between them."""
+    ends = [nodes.where(f.column()).select(F.col("id").alias(f"{end}_id"), F.col("name").alias(end)) for end, f in (("source", source), ("target", target))]
+    return edges_of(edges, kinds=kinds).join(ends[0], "source_id").join(ends[1], "target_id").select("source", "kind", "target")

@@ -29,7 +29,7 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posting_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return index.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"), F.max(F.element_at("positions", -1)).alias("last_position")).where("n_docs >= 5")
+    return index.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"), F.max(F.element_at("positions", -1)).alias("last_position"))
 
 
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ QUERIES = {
 figures AS (SELECT count(*) AS total, avg(length) AS average FROM lengths), hits AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(a) AS t FROM tok) WHERE t IN ('worthless', 'the', 'que') GROUP BY doc_id, t),
 df AS (SELECT t, count(*) AS n FROM hits GROUP BY t), ranked AS (SELECT doc_id, sum({_BM25}) AS rank FROM hits JOIN df USING (t) JOIN lengths USING (doc_id), figures GROUP BY doc_id)
 SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {TOP}"""),
-    "posting_counts": (posting_counts, f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n, CAST(max(position) AS INT) AS last_position FROM (SELECT doc_id, unnest(a) AS token, unnest(range(len(a))) AS position FROM (SELECT doc_id, {_TOKENS.format(c='text')} AS a FROM documents)) GROUP BY token HAVING count(DISTINCT doc_id) >= 5"),
+    "posting_counts": (posting_counts, f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n, CAST(max(position) AS INT) AS last_position FROM (SELECT doc_id, unnest(a) AS token, unnest(range(len(a))) AS position FROM (SELECT doc_id, {_TOKENS.format(c='text')} AS a FROM documents)) GROUP BY token"),
     "semantic_search": (semantic_search, f"WITH {_NEAR} SELECT vec_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score FROM near ORDER BY near.distance, vec_id LIMIT {TOP} OFFSET 5"),
     "hybrid_search": (hybrid_search, f"WITH {_EXACT}, {_NEAR}, legs AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY rank DESC, doc_id)) AS s FROM (SELECT * FROM ranked ORDER BY rank DESC, doc_id LIMIT {2 * TOP}) UNION ALL SELECT vec_id, 1 / (60 + row_number() OVER (ORDER BY distance, vec_id)) FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {2 * TOP})), fused AS (SELECT doc_id, sum(s) AS score FROM legs GROUP BY doc_id) SELECT doc_id, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, doc_id LIMIT {TOP}"),
 }

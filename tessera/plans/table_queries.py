@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregate, lookup, merge
@@ -28,7 +28,7 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = nodes(spark, sf_dir).where("kind = 'method'").select("id", "name", "repository_id", "language", "seq")
+    own = nodes(spark, sf_dir).select("id", "name", "repository_id", "language", "seq")
     new = own.where("seq % 2 = 0").selectExpr("id", "name || '!' AS name", "'other' AS repository_id", "'zig' AS language", "seq + 1 AS seq").unionByName(own.where("seq % 5 = 0").selectExpr("id || '+' AS id", "name", "repository_id", "language", "seq"))
     return merge.upsert(own, new, preserve=("repository_id", "language"))
 
@@ -92,8 +92,47 @@ def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "orders").selectExpr("o_orderpriority AS scenario", "o_orderstatus || (o_custkey % 50) AS name", "o_orderkey")
-    return aggregate.new_names(own.where("o_orderkey % 3 = 0").drop("o_orderkey"), own.where("o_orderkey % 3 = 1").drop("o_orderkey"))
+    own = read(spark, sf_dir, "orders").selectExpr("o_orderpriority AS scenario", "'c' || o_custkey AS name", "o_orderstatus")
+    return aggregate.new_names(own.where("o_orderstatus = 'F'").drop("o_orderstatus"), own.where("o_orderstatus <> 'F'").drop("o_orderstatus"))
+
+
+def top_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scenario"), F.expr("o_orderstatus = 'F'").alias("new"), F.expr("'n' || (o_custkey % 40)").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy("scenario", "new").orderBy(F.desc("n"), "name")))
+    return aggregate.top_overlap(ranked.where("new"), ranked.where("not new"), 10)
+
+
+def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = read(spark, sf_dir, "orders").selectExpr("CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'failed' END END AS status", "CAST(o_orderkey % 5 AS INT) AS tries")
+    return aggregate.queue_stats(tasks)
+
+
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nodes(spark, sf_dir).selectExpr("file_path AS path", "repository_id", "CASE WHEN kind = 'function' THEN 'indexed' ELSE 'pending' END AS status").distinct()
+    return lookup.list_files(found, "repo1", "indexed")
+
+
+def repository_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repositories = read(spark, sf_dir, "region").selectExpr("'repo' || r_regionkey AS id", "'/src/' || lower(r_name) AS path")
+    return lookup.repository_at(repositories, "asia")
+
+
+def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding")
+    changes = own.selectExpr("CASE WHEN id % 2 = 0 THEN id ELSE -1 - id END AS id", "transform(embedding, x -> CAST(2 * x AS FLOAT)) AS embedding")
+    done = merge.upsert_vectors(own, changes)
+    return done.select("id", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+def delete_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repositories = read(spark, sf_dir, "region").selectExpr("'repo' || r_regionkey AS id")
+    left = merge.delete_repository({"nodes": nodes(spark, sf_dir), "edges": edges(spark, sf_dir), "repositories": repositories}, "repo1")
+    return aggregate.table_counts(left)
+
+
+def delete_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = merge.delete_file(nodes(spark, sf_dir), edges(spark, sf_dir), "world/n3/suppliers.go")
+    return aggregate.table_counts({"nodes": left[0], "edges": left[1]})
 
 
 _DIFF_SQL = f"""SELECT coalesce(c.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'removed'
@@ -103,7 +142,7 @@ FROM ({_CURRENT}) c FULL OUTER JOIN ({_STORED}) s ON c.path = s.path"""
 QUERIES = {
     "snapshot_diff": (snapshot_diff, _DIFF_SQL),
     "snapshot_changes": (snapshot_changes, f"SELECT change, count(*) AS n FROM ({_DIFF_SQL}) GROUP BY change"),
-    "upsert_nodes": (upsert_nodes, f"WITH {GRAPH_SQL}, own AS (SELECT id, name, repository_id, language, seq FROM nodes WHERE kind = 'method') SELECT id, CASE WHEN seq % 2 = 0 THEN name || '!' ELSE name END AS name, repository_id, language, CASE WHEN seq % 2 = 0 THEN seq + 1 ELSE seq END AS seq FROM own UNION ALL SELECT id || '+', name, repository_id, language, seq FROM own WHERE seq % 5 = 0"),
+    "upsert_nodes": (upsert_nodes, f"WITH {GRAPH_SQL}, own AS (SELECT id, name, repository_id, language, seq FROM nodes) SELECT id, CASE WHEN seq % 2 = 0 THEN name || '!' ELSE name END AS name, repository_id, language, CASE WHEN seq % 2 = 0 THEN seq + 1 ELSE seq END AS seq FROM own UNION ALL SELECT id || '+', name, repository_id, language, seq FROM own WHERE seq % 5 = 0"),
     "newest_change": (newest_change, "SELECT user_id AS path, max(event_id) AS seq, arg_max(event_type, event_id) AS change FROM events GROUP BY user_id"),
     "delete_cascade": (delete_cascade, f"WITH {GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE repository_id <> 'repo1') SELECT 'nodes' AS \"table\", count(*) AS n FROM kept UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept)"),
     "valid_edges": (valid_edges, f"WITH {GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE is_exported) SELECT source_id, target_id FROM edges WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept)"),
@@ -116,5 +155,12 @@ QUERIES = {
     "debounced_changes": (debounced_changes, "SELECT path, ts, change FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, seq) AS next_ts FROM (SELECT user_id AS path, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 'unlink' ELSE 'change' END AS change FROM events)) WHERE change = 'unlink' OR next_ts IS NULL OR next_ts - ts >= INTERVAL 2 HOURS"),
     "sessions": (sessions, "SELECT user_id, min(ts) AS session_start, count(*) AS n, max(event_id) AS last_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
     "payload_sizes": (payload_sizes, "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(ceil(strlen(text) / 4)) AS BIGINT) AS tokens FROM conversations"),
-    "new_names": (new_names, "WITH own AS (SELECT o_orderpriority AS scenario, o_orderstatus || (o_custkey % 50) AS name, o_orderkey FROM orders) SELECT DISTINCT scenario, name FROM own WHERE o_orderkey % 3 = 0 AND (scenario, name) NOT IN (SELECT (scenario, name) FROM own WHERE o_orderkey % 3 = 1)"),
+    "new_names": (new_names, "WITH own AS (SELECT o_orderpriority AS scenario, 'c' || o_custkey AS name, o_orderstatus FROM orders) SELECT DISTINCT scenario, name FROM own WHERE o_orderstatus = 'F' AND (scenario, name) NOT IN (SELECT (scenario, name) FROM own WHERE o_orderstatus <> 'F')"),
+    "top_overlap": (top_overlap, "WITH own AS (SELECT o_orderpriority AS scenario, o_orderstatus = 'F' AS new, 'n' || (o_custkey % 40) AS name, count(*) AS n FROM orders GROUP BY 1, 2, 3), first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, new ORDER BY n DESC, name) AS place FROM own) WHERE place <= 10) SELECT b.scenario, count(c.name) / count(*) AS overlap FROM (SELECT * FROM first WHERE NOT new) b LEFT JOIN (SELECT * FROM first WHERE new) c ON c.scenario = b.scenario AND c.name = b.name GROUP BY b.scenario"),
+    "queue_stats": (queue_stats, "SELECT count(*) FILTER (WHERE s = 'pending' OR (s = 'failed' AND t < 3)) AS pending, count(*) FILTER (WHERE s = 'running') AS running, count(*) FILTER (WHERE s = 'done') AS done, count(*) FILTER (WHERE s = 'failed' AND t >= 3) AS failed, count(*) AS total FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'done' ELSE 'failed' END END AS s, o_orderkey % 5 AS t FROM orders)"),
+    "list_files": (list_files, f"WITH {GRAPH_SQL} SELECT DISTINCT file_path AS path, repository_id, 'indexed' AS status FROM nodes WHERE repository_id = 'repo1' AND kind = 'function'"),
+    "repository_at": (repository_at, "SELECT 'repo' || r_regionkey AS id, '/src/' || lower(r_name) AS path FROM region WHERE ends_with(lower(r_name), 'asia')"),
+    "upsert_vectors": (upsert_vectors, "SELECT vec_id AS id, CAST(len(embedding) AS INT) AS dim, round(CAST(CASE WHEN vec_id % 2 = 0 THEN 2 * embedding[1] ELSE embedding[1] END AS DOUBLE), 5) AS first FROM embeddings UNION ALL SELECT -1 - vec_id, CAST(len(embedding) AS INT), round(CAST(2 * embedding[1] AS DOUBLE), 5) FROM embeddings WHERE vec_id % 2 <> 0"),
+    "delete_repository": (delete_repository, f"WITH {GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE repository_id <> 'repo1') SELECT 'nodes' AS \"table\", count(*) AS n FROM kept UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept) UNION ALL SELECT 'repositories', count(*) FROM region WHERE r_regionkey <> 1"),
+    "delete_file": (delete_file, f"WITH {GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE file_path <> 'world/n3/suppliers.go') SELECT 'nodes' AS \"table\", count(*) AS n FROM kept UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id IN (SELECT id FROM kept) AND target_id IN (SELECT id FROM kept)"),
 }

@@ -70,6 +70,16 @@ def test_shortest_path(spark):
     assert path("1", "9") == [] and path("9", "1") == []
 
 
+def test_paths_of_any_length_and_to_several_targets(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGED", 3)
+    chain = edges_of(spark, *[(f"c{k}", f"c{k + 1}") for k in range(60)], ("c5", "x"), ("c9", "x"), ("a", "b"))
+    out = graph.shortest_paths(chain, "c0", ["c60", "x", "b", "c0"]).collect()
+    by = {t: [r["id"] for r in sorted(out, key=lambda r: r["step"]) if r["target"] == t] for t in ("c60", "x", "b", "c0")}
+    assert by == {"c60": [f"c{k}" for k in range(61)], "x": [*[f"c{k}" for k in range(6)], "x"], "b": [], "c0": ["c0"]}
+    assert tuple(graph.path_summary(graph.shortest_path(chain, "c0", "x")).first()) == (True, 6)
+    assert tuple(graph.path_summary(graph.shortest_path(chain, "c0", "b")).first()) == (False, 0)
+
+
 def test_dead_code_degrees_and_stats(spark):
     nodes = nodes_of(spark, ("1", "unused", "function", "a.ts", False), ("2", "api", "function", "a.ts", True), ("3", "used", "function", "b.ts", False), ("4", "loop", "method", "b.ts", False), ("5", "T", "type", "b.ts", False))
     edges = edges_of(spark, ("2", "3"), ("4", "4"))
