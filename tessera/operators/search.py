@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.stem import forms, stems
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF = 60
 
@@ -31,27 +33,42 @@ def _bm25(tf: Column, n: Column, total: Column, length: Column, average: Column)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def exact_search(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, limit: int = 20, offset: int = 0) -> DataFrame:
+def _matches(spaced: Column, stemmed: list[str], stem: bool) -> Column:
+    """How often a phrase is in tokens between single spaces: a space that the phrase and a space follow is one
+    occurrence. With ``stem``, words that begin as the stems do are found first, and only they are stemmed."""
+    if not stem:
+        return F.regexp_count(spaced, F.lit(f" (?={' '.join(stemmed)} )"))
+    found = F.regexp_extract_all(spaced, F.lit(f" (?=({' '.join(forms(w) for w in stemmed)}) )"), F.lit(1))
+    return F.size(F.filter(found, lambda m: stems(F.split(m, " ")) == F.array(*[F.lit(w) for w in stemmed])))
+
+
+def exact_search(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, limit: int = 20, offset: int = 0, stem: bool = True, fields: list[str] | None = None) -> DataFrame:
     """(id, rank, score): documents with the whole query as one phrase, the best first.
 
-    One pass gives the corpus figures and one the matches; the phrase is counted within a row, so no postings are
-    shuffled. ``score`` is 1 / (1 + rank) as callers know it; it falls as relevance grows, rows come best first.
+    Words agree if their stems do, or, without ``stem``, if they are equal. ``fields`` are the columns of ``text_cols``
+    to search, all by default; lengths are always those of all. One pass gives the corpus figures and one the matches;
+    the phrase is counted within a row, so no postings are shuffled. ``score`` is 1 / (1 + rank) as callers know it; it
+    falls as relevance grows, rows come best first.
     """
-    wanted = docs.sparkSession.range(1).select(tokens(F.lit(phrase)).alias("t")).first()["t"]
+    said = tokens(F.lit(phrase))
+    wanted = docs.sparkSession.range(1).select((stems(said) if stem else said).alias("t")).first()["t"]
     kind = docs.schema[id_col].dataType.simpleString()
     if not wanted:
         return docs.sparkSession.createDataFrame([], f"id {kind}, rank double, score double")
     limit, offset = (20 if limit < 1 else min(limit, 100)), max(0, offset)
-    # tokens between single spaces: a space that the phrase and a space follow is one occurrence
-    spaced = [F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" ")) for c in text_cols]
-    tf = [F.regexp_count(t, F.lit(f" (?={' '.join(wanted)} )")) for t in spaced]
-    length = [F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")) for t in spaced]
+    spaced = {c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" ")) for c in text_cols}
+    tf = [_matches(spaced[c], wanted, stem) for c in (text_cols if fields is None else fields)]
+    length = [F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")) for t in spaced.values()]
     found = docs.select(F.col(id_col).alias("id"), sum(length[1:], length[0]).alias("length"), sum(tf[1:], tf[0]).alias("tf"))
     total, average, n = found.agg(F.count(F.lit(1)), F.avg("length"), F.sum((F.col("tf") > 0).cast("long"))).first()
     if not n:
         return docs.sparkSession.createDataFrame([], f"id {kind}, rank double, score double")
-    rank = _bm25(F.col("tf"), F.lit(n), F.lit(total), F.col("length"), F.lit(average))
-    ranked = found.where("tf > 0").select("id", rank.alias("rank"))
+    return best(found.where("tf > 0"), n, total, average, limit, offset)
+
+
+def best(found: DataFrame, n: int, total: int, average: float, limit: int, offset: int) -> DataFrame:
+    """(id, rank, score) of matches (id, length, tf), the best first."""
+    ranked = found.select("id", _bm25(F.col("tf"), F.lit(n), F.lit(total), F.col("length"), F.lit(average)).alias("rank"))
     return ranked.orderBy(F.desc("rank"), "id").offset(offset).limit(limit).select("id", "rank", (1 / (1 + F.col("rank"))).alias("score"))
 
 
@@ -101,9 +118,9 @@ def placed(leg: DataFrame, *order: Column) -> DataFrame:
     return leg.select("id", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
-def hybrid_search(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, vectors: DataFrame, vector_id: str, vector_col: str, query: list[float], limit: int = 20, offset: int = 0) -> DataFrame:
+def hybrid_search(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, vectors: DataFrame, vector_id: str, vector_col: str, query: list[float], limit: int = 20, offset: int = 0, stem: bool = True) -> DataFrame:
     """Both legs give twice the limit; the fused list is paged."""
-    text = placed(exact_search(docs, id_col, text_cols, phrase, 2 * limit), F.desc("rank"), F.col("id"))
+    text = placed(exact_search(docs, id_col, text_cols, phrase, 2 * limit, stem=stem), F.desc("rank"), F.col("id"))
     near = placed(semantic_search(vectors, vector_id, vector_col, query, 2 * limit), F.col("distance"), F.col("id"))
     return reciprocal_ranks(text, near, limit, offset)
 

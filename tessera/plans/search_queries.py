@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import search
-from tessera.storage import read
+from tessera.functions import stem
+from tessera.operators import search, text_index
+from tessera.storage import read, scratch
 
 PHRASE, TERMS, TOP = "of the", ["worthless", "the", "que"], 20
+STEMMED, WORD = "on the", "hehe"
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -16,7 +18,7 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.exact_search(read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], PHRASE, TOP)
+    found = search.exact_search(read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], PHRASE, TOP, stem=False)
     return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
@@ -38,10 +40,31 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.hybrid_search(read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], PHRASE, read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), TOP)
+    found = search.hybrid_search(read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], PHRASE, read(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), TOP, stem=False)
     return found.select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.exact_search(read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], STEMMED, TOP)
+    return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.exact_search(read(spark, sf_dir, "documents"), "doc_id", ["text", "source"], WORD, TOP, fields=["text"])
+    return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+def maintained_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are indexed with their texts swapped for their sources; a second batch puts most of them right and
+    deletes the rest."""
+    docs, path = read(spark, sf_dir, "documents"), scratch(spark, "index")
+    text_index.add_batch(docs.selectExpr("doc_id", "source AS text", "text AS source"), "doc_id", ["text", "source"], path, 0)
+    right = F.col("doc_id") % 4 > 0
+    text_index.add_batch(docs.where(right), "doc_id", ["text", "source"], path, 1, docs.where(~right).select(F.col("doc_id").alias("id")))
+    found = text_index.phrase_search(spark, path, STEMMED, TOP)
+    return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
 _IDF = "greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6)"
 _BM25 = f"{_IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))"
 _TOKENS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -52,7 +75,36 @@ figures AS (SELECT count(*) AS total, avg(length) AS average, count(*) FILTER (W
 ranked AS (SELECT doc_id, {_BM25} AS rank FROM counted, figures WHERE tf > 0)"""
 _NEAR = "near AS (SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"
 
+_SWAP = "CASE WHEN regexp_matches(regexp_extract(w, '{p}', 1), '{m}') THEN regexp_extract(w, '{p}', 1) || CASE regexp_extract(w, '{p}', 2) {cases} END ELSE w END"
+_STEPS = (
+    "CASE WHEN regexp_matches(w, '(?:ss|i)es$') THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') THEN w[:-2] ELSE w END",
+    f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches(w[:-4], '{stem.MEASURED}') THEN w[:-2] ELSE w END WHEN ends_with(w, 'ed') AND regexp_matches(w[:-3], '{stem.VOWEL}') THEN w[:-3] || '+' WHEN ends_with(w, 'ing') AND regexp_matches(w[:-4], '{stem.VOWEL}') THEN w[:-4] || '+' ELSE w END",
+    f"CASE WHEN NOT ends_with(w, '+') THEN w WHEN regexp_matches(w, '(?:at|bl|iz)[+]$') THEN w[:-2] || 'e' WHEN len(w) > 2 AND w[-2] = w[-3] AND w[-2] NOT IN ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z') THEN w[:-3] WHEN regexp_matches(w[:-2], '{stem.ONCE}') AND regexp_matches(w[:-2], '{stem.SHORT}') THEN w[:-2] || 'e' ELSE w[:-2] END",
+    f"CASE WHEN ends_with(w, 'y') AND regexp_matches(w[:-2], '{stem.VOWEL}') THEN w[:-2] || 'i' ELSE w END",
+    *[_SWAP.format(p=stem.any_of(t), m=stem.MEASURED, cases=" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in t.items())) for t in (stem.SECOND, stem.THIRD)],
+    f"CASE WHEN regexp_matches(regexp_extract(w, '{stem.any_of(stem.FOURTH)}', 1), '{stem.TWICE}') THEN regexp_extract(w, '{stem.any_of(stem.FOURTH)}', 1) WHEN regexp_matches(w, '[st]ion$') AND regexp_matches(w[:-4], '{stem.TWICE}') THEN w[:-4] ELSE w END",
+    f"CASE WHEN ends_with(w, 'e') AND (regexp_matches(w[:-2], '{stem.TWICE}') OR (regexp_matches(w[:-2], '{stem.ONCE}') AND NOT regexp_matches(w[:-2], '{stem.SHORT}'))) THEN w[:-2] ELSE w END",
+    f"CASE WHEN ends_with(w, 'll') AND regexp_matches(w, '{stem.TWICE}') THEN w[:-2] ELSE w END",
+)
+_STEMS = "vocabulary AS (SELECT DISTINCT word, word AS w FROM words), " + ", ".join(f"v{k + 1} AS (SELECT word, {step} AS w FROM {f'v{k}' if k else 'vocabulary'})" for k, step in enumerate(_STEPS))
+
+
+def _stemmed_sql(docs: str, fields: str, slots: list[str]) -> str:
+    """A phrase of stems over ``docs``, a query that gives (doc_id, text, source)."""
+    hits = " JOIN ".join(f"(SELECT doc_id, f, pos FROM stemmed WHERE stem = '{w}') h{k}" + (f" ON h{k}.doc_id = h0.doc_id AND h{k}.f = h0.f AND h{k}.pos = h0.pos + {k}" if k else "") for k, w in enumerate(slots))
+    return f"""WITH tok AS (SELECT doc_id, {_TOKENS.format(c='text')} AS a, {_TOKENS.format(c='source')} AS b FROM ({docs})),
+words AS (SELECT doc_id, 'text' AS f, unnest(a) AS word, unnest(range(len(a))) AS pos FROM tok UNION ALL SELECT doc_id, 'source', unnest(b), unnest(range(len(b))) FROM tok), {_STEMS},
+stemmed AS (SELECT doc_id, f, pos, CASE WHEN len(word) BETWEEN 3 AND 64 THEN w ELSE word END AS stem FROM words JOIN v{len(_STEPS)} USING (word)),
+hits AS (SELECT h0.doc_id, count(*) AS tf FROM {hits} WHERE h0.f IN ({fields}) GROUP BY h0.doc_id),
+figures AS (SELECT count(*) AS total, avg(coalesce(len(a), 0) + coalesce(len(b), 0)) AS average, (SELECT count(*) FROM hits) AS n FROM tok),
+ranked AS (SELECT doc_id, {_BM25} AS rank FROM (SELECT hits.doc_id, tf, coalesce(len(a), 0) + coalesce(len(b), 0) AS length FROM hits JOIN tok USING (doc_id)), figures)
+SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {TOP}"""
+
+
 QUERIES = {
+    "stemmed_search": (stemmed_search, _stemmed_sql("FROM documents", "'text', 'source'", STEMMED.split())),
+    "field_search": (field_search, _stemmed_sql("FROM documents", "'text'", [WORD])),
+    "maintained_search": (maintained_search, _stemmed_sql("FROM documents WHERE doc_id % 4 > 0", "'text', 'source'", STEMMED.split())),
     "exact_search": (exact_search, f"WITH {_EXACT} SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {TOP}"),
     "index_search": (index_search, f"""WITH tok AS (SELECT doc_id, {_TOKENS.format(c='text')} AS a FROM documents), lengths AS (SELECT doc_id, len(a) AS length FROM tok),
 figures AS (SELECT count(*) AS total, avg(length) AS average FROM lengths), hits AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(a) AS t FROM tok) WHERE t IN ('worthless', 'the', 'que') GROUP BY doc_id, t),

@@ -7,8 +7,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import compact, ignore, text
-from tessera.operators import graph, lookup, resolve, search
+from tessera.functions import compact, ignore, stem, text
+from tessera.operators import graph, lookup, resolve, search, text_index
 from tessera.sources import files, graphs
 
 
@@ -139,3 +139,50 @@ def test_fusion(spark):
     docs = spark.createDataFrame([(1, "user_login of the day"), (2, "userLogin"), (3, None)], "id long, text string")
     assert [r["id"] for r in search.exact_search(docs, "id", ["text"], "user-login").collect()] == [1]
     assert search.exact_search(docs, "id", ["text"], " - ").count() == 0
+
+
+# pairs of word and stem that the algorithm's paper prints, and what stays as it is
+STEMS = (
+    "caresses caress|ponies poni|ties ti|caress caress|cats cat|feed feed|agreed agre|plastered plaster|bled bled|motoring motor|sing sing|conflated conflat|troubled troubl|sized size|hopping hop|tanned tan|falling fall|hissing hiss|"
+    "fizzed fizz|failing fail|filing file|happy happi|sky sky|relational relat|conditional condit|rational ration|digitizer digit|vietnamization vietnam|predication predic|operator oper|feudalism feudal|decisiveness decis|"
+    "hopefulness hope|triplicate triplic|formative form|formalize formal|electrical electr|goodness good|revival reviv|allowance allow|airliner airlin|adjustable adjust|replacement replac|adjustment adjust|adoption adopt|"
+    "communism commun|activate activ|homologous homolog|effective effect|probate probat|rate rate|cease ceas|controll control|roll roll|running run|visibility visibl|is is|a a|12s 12|\u00e9t\u00e9s \u00e9t\u00e9"
+)
+
+
+def test_stems(spark):
+    words, expected = zip(*[pair.split() for pair in STEMS.split("|")], strict=True)
+    long = "x" * 64 + "s"
+    got = spark.createDataFrame([(list(words) + [long],), ([],), (None,)], "w array<string>").select(stem.stems(F.col("w")).alias("s")).collect()
+    assert got[0]["s"] == [*expected, long] and got[1]["s"] == [] and got[2]["s"] is None
+
+
+def test_words_of_a_stem_match_its_forms(spark):
+    ends = ["", "s", "es", "ed", "ing", "y", "ies", "e", "er", "ational", "ization", "ability", "ibility", "fulness", "iveness", "icate", "ement", "ll", "lly", "logy", "bled", "tted", "tion"]
+    words = sorted({a + b + c for a in ("run", "troubl", "vis", "hop", "at", "siz", "happ", "the", "bab", "geolog") for b in ends for c in ends})
+    row = spark.createDataFrame([(words,)], "w array<string>").select(F.arrays_zip("w", stem.stems(F.col("w")).alias("s")).alias("z")).first()["z"]
+    import re
+
+    assert [p for p in row if not re.fullmatch(stem.forms(p["s"]).replace(r"[\p{L}\p{N}]", r"\w"), p["w"])] == []
+
+
+def test_stemmed_search_and_the_stored_index(spark, tmp_path):
+    schema = "id long, title string, body string"
+    docs = spark.createDataFrame([(1, "Run", "he runs running running fast"), (2, None, "a runner"), (3, "fast runs", "run fastly"), (4, "", ""), (5, None, None)], schema)
+    both = ["title", "body"]
+    ids = lambda df: [(r["id"], round(r["rank"], 9)) for r in df.collect()]
+    scan = lambda table, phrase, **more: ids(search.exact_search(table, "id", both, phrase, **more))
+    assert {i for i, _ in scan(docs, "runs")} == {1, 3} and {i for i, _ in scan(docs, "runs", fields=["title"])} == {1, 3}
+    assert [i for i, _ in scan(docs, "RUNNING fast", fields=["body"])] == [1]
+    assert {i for i, _ in scan(docs, "running running")} == {1} and {i for i, _ in scan(docs, "runs", stem=False)} == {1, 3} and scan(docs, "runs fastest", stem=False) == []
+    path = str(tmp_path / "index")
+    for _ in range(2):  # a batch that is tried again changes nothing
+        text_index.add_batch(docs, "id", both, path, 0)
+    stored = lambda phrase, **more: ids(text_index.phrase_search(spark, path, phrase, **more))
+    for phrase in ("runs", "running fast", "run", "nobody", " - ", "a"):
+        assert stored(phrase) == scan(docs, phrase) and stored(phrase, fields=["body"], stem=False) == scan(docs, phrase, fields=["body"], stem=False)
+    text_index.add_batch(spark.createDataFrame([(2, None, "run"), (6, "runs", None)], schema), "id", both, path, 1, spark.createDataFrame([(3,), (2,)], "id long"))
+    now = spark.createDataFrame([(1, "Run", "he runs running running fast"), (2, None, "run"), (4, "", ""), (5, None, None), (6, "runs", None)], schema)
+    assert stored("runs") == scan(now, "runs") and stored("runner") == []
+    text_index.add_batch(docs.limit(0), "id", both, path, 2, docs.select("id"))
+    assert {i for i, _ in stored("runs")} == {6}
