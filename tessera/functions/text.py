@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,40 +51,64 @@ def secret_matches(text: Column) -> Column:
     return F.filter(F.array(*[F.struct(F.lit(c).alias("category"), n.alias("n")) for c, n in counts.items()]), lambda x: x["n"] > 0)
 
 
-def _scrub_one(text: str | None, rules: list[tuple[str, float, re.Pattern]]) -> tuple[str | None, list[dict]]:
-    if text is None:
-        return None, []
-    taken: list[tuple[int, int]] = []
-    out, detected = text, []
+def may_hold_secrets(text: Column) -> Column:
+    """Whether any pattern that counts may match. Case and white space are taken as widely as Python takes them, so
+    every text that the helper of :func:`scrub` would change passes."""
+    wide = lambda p: p.replace(r"\s*", r"[\s\x1c-\x1f]*").replace(r"\s+", r"[\s\x1c-\x1f]+")
+    tests = [text.rlike(f"(?{'i' if ignore_case else ''}U){wide(pattern)}") for _, confidence, ignore_case, pattern in PATTERNS if confidence >= COUNTS_FROM]
+    return reduce(Column.__or__, tests)
+
+
+def _harmless(line: str) -> bool:
+    return any(w in line.lower() for w in HARMLESS_WORDS) or any(w in line for w in HARMLESS_MARKS)
+
+
+def _found(text: str, rules: list[tuple[str, float, re.Pattern]]) -> list[tuple[str, float, int, str]]:
+    """Accepted matches as (category, confidence, line, literal), in the order of the rules.
+
+    ``ends`` and ``starts`` are the sorted bounds of what is accepted, which is disjoint: a match overlaps something
+    unless as many accepted spans end at or before its start as start before its end.
+    """
+    starts, ends, out = [], [], []
+    breaks = [m.start() for m in re.finditer("\n", text)]
     for category, confidence, rule in rules:
         for m in rule.finditer(text):
-            if any(m.start() < b and a < m.end() for a, b in taken):
-                continue
-            if confidence < ALWAYS_FROM:
-                line = text[text.rfind("\n", 0, m.start()) + 1 : (text + "\n").index("\n", m.start())]
-                if any(w in line.lower() for w in HARMLESS_WORDS) or any(w in line for w in HARMLESS_MARKS):
-                    continue
-            taken.append(m.span())
-            detected.append({"category": category, "line": text.count("\n", 0, m.start()) + 1, "confidence": confidence})
-            out = out.replace(m[0], f"[REDACTED:{category}]")
-    return out, detected
+            free = bisect.bisect_right(ends, m.start()) == bisect.bisect_left(starts, m.end())
+            row = bisect.bisect_left(breaks, m.start())
+            line = text[breaks[row - 1] + 1 if row else 0 : breaks[row] if row < len(breaks) else len(text)]
+            if free and (confidence >= ALWAYS_FROM or not _harmless(line)):
+                bisect.insort(starts, m.start())
+                bisect.insort(ends, m.end())
+                out.append((category, confidence, row + 1, m[0]))
+    return out
 
 
 def scrub(text: Column) -> Column:
     """(scrubbed, detected) of a text: secrets redacted, and what they were.
 
     Patterns run on the original text, the surest first; a match that overlaps an accepted one is passed over, and one
-    below ALWAYS_FROM too where its line looks harmless. An accepted literal is redacted everywhere. This is a Python
-    helper over Arrow batches, since which match counts depends on the ones accepted before. Null stays null.
+    below ALWAYS_FROM too where its line looks harmless. An accepted literal is redacted everywhere. Which match counts
+    depends on the ones accepted before, so this is a Python helper over Arrow batches; only texts that a pattern may
+    match are sent to it. Null stays null.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rules = sorted(((c, conf, re.compile(p, re.I if i else 0)) for c, conf, i, p in PATTERNS if conf >= COUNTS_FROM), key=lambda r: -r[1])
         for batch in batches:
-            yield pd.DataFrame([_scrub_one(None if pd.isna(t) else t, rules) for t in batch], columns=["scrubbed", "detected"])
-
+            rows = []
+            for given in batch:
+                found = [] if pd.isna(given) else _found(given, rules)
+                clean = None if pd.isna(given) else given
+                for category, _, _, literal in found:
+                    clean = clean.replace(literal, f"[REDACTED:{category}]")
+                rows.append((clean, [{"category": c, "line": n, "confidence": conf} for c, conf, n, _ in found]))
+            yield pd.DataFrame(rows, columns=["scrubbed", "detected"])
+
+    kind = "scrubbed string, detected array<struct<category:string,line:int,confidence:double>>"
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "scrubbed string, detected array<struct<category:string,line:int,confidence:double>>")(text)
+    held = may_hold_secrets(text)
+    done = F.pandas_udf(run, kind)(F.when(held, text))
+    return F.struct(F.when(held, done["scrubbed"]).otherwise(text).alias("scrubbed"), done["detected"].alias("detected"))
 
 
 def pack_lines(content: Column, most: int = MOST_CHUNK) -> Column:

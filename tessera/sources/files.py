@@ -113,24 +113,34 @@ def _outline(content: Column) -> Column:
     return F.filter(F.transform(F.split(content, "\n"), entry), lambda x: ~x["blank"])
 
 
+def exported_names(content: Column) -> Column:
+    """Names that a file exports: of its exported declarations, and of its export lists by their local name."""
+    declared = F.regexp_extract_all(content, F.lit(r"(?m)^\s*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|const|let|var|type|enum)\s+([\w$]+)"), F.lit(1))
+    # a list that is followed by ``from`` names another file's symbols
+    listed = F.regexp_extract_all(content, F.lit(r"(?m)^\s*export\s*(?:type\s*)?\{([^}]*)\}(?!\s*from\b)"), F.lit(1))
+    local = F.transform(F.split(F.array_join(listed, ","), ","), lambda x: F.regexp_extract(x, r"([\w$]+)", 1))
+    return F.array_distinct(F.filter(F.concat(declared, local), lambda x: x != ""))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """Nodes of every file, found within the file's row.
 
     A declaration ends before the next line that is indented no deeper, or with it if it closes a block; its parent is
     the nearest declaration before it that is indented less.
     """
-    outlined = files.select("path", "repository_id", "language", F.size(F.split("content", "\n")).alias("total"), _outline(F.col("content")).alias("outline"))
+    outlined = files.select("path", "repository_id", "language", F.size(F.split("content", "\n")).alias("total"), _outline(F.col("content")).alias("outline"), exported_names(F.col("content")).alias("exported_names"))
     own = outlined.select("*", F.explode(F.filter("outline", lambda x: x["name"] != "")).alias("d"))
     end_at = F.get(F.filter("outline", lambda x: (x["line"] > F.col("d.line")) & (x["indent"] <= F.col("d.indent"))), F.lit(0))
     above = F.filter("outline", lambda x: (x["line"] < F.col("d.line")) & (x["indent"] < F.col("d.indent")) & (x["name"] != ""))
-    placed = own.select("path", "repository_id", "language", "total", "d", end_at.alias("end_at"), F.get(above, F.size(above) - 1)["name"].alias("parent"))
+    by_name = F.array_contains("exported_names", F.col("d.name"))
+    placed = own.select("path", "repository_id", "language", "total", "d", by_name.alias("by_name"), end_at.alias("end_at"), F.get(above, F.size(above) - 1)["name"].alias("parent"))
     end = F.when(F.col("end_at").isNull(), F.col("total")).otherwise(F.col("end_at.line") - F.when(F.col("end_at.closing"), 0).otherwise(1))
     qualified = F.concat_ws(".", "parent", "d.name")
     line = F.col("d.line")
     seq = F.shiftleft(F.pmod(F.xxhash64("path"), F.lit(1 << 40)), 20) + line
     return placed.select(
         node_id(F.col("path"), qualified, line).alias("id"), F.col("d.name").alias("name"), qualified.alias("qualified_name"), node_kind(F.col("d.word")).alias("kind"), F.col("path").alias("file_path"),
-        line.alias("line_start"), end.cast("int").alias("line_end"), visibility(F.col("d.visibility")).alias("visibility"), F.col("d.exported").alias("is_exported"), F.lit(None).cast("string").alias("docstring"),
+        line.alias("line_start"), end.cast("int").alias("line_end"), visibility(F.col("d.visibility")).alias("visibility"), (F.col("d.exported") | F.col("by_name")).alias("is_exported"), F.lit(None).cast("string").alias("docstring"),
         F.lit(None).cast("int").alias("complexity"), "repository_id", "language", seq.alias("seq"),
     )
 

@@ -28,9 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where or current
 
 
+#: Paths and tables of this process, for :func:`clear_scratch`.
+_PATHS: list[str] = []
+_TABLES: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what this process settled, and says how many paths that were. Call it once results are written: tables
+    made before read these files."""
+    n = len(_PATHS)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _PATHS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def settle(df: DataFrame, name: str = "table", by: list[str] | None = None) -> DataFrame:
@@ -45,6 +64,7 @@ def settle(df: DataFrame, name: str = "table", by: list[str] | None = None) -> D
         table = f"settled_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df.write.bucketBy(buckets, *by).option("path", path).format("parquet").saveAsTable(table)
+        _TABLES.append(table)
         return spark.table(table)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

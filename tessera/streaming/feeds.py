@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.merge import delete_nodes, newest, upsert
+from tessera.operators.merge import delete_nodes, newest, upsert, valid_edges
 
 CHANGES = "ts timestamp, seq long, path string, change string, content_hash string"
 REQUESTS = "ts timestamp, tool string, duration double, error boolean, ip string"
@@ -93,3 +93,30 @@ def maintain(changes: DataFrame, nodes_at: Callable[[int], str], parse: Callable
         last.unpersist()
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_changes(changes: DataFrame, path: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
+    """Like :func:`maintain`, but a micro-batch writes only what it changed: the versions of its files and their nodes
+    and edges, in a folder of its own. :func:`current_graph` gives the tables.
+
+    A batch costs as much as its changes, whatever the tables hold. One that was interrupted is written again as a
+    whole when the stream resumes from ``checkpoint``. ``parse`` gives edges with a ``file_path``: that of the file
+    that states them.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        last = newest(batch, "path", "seq").persist()
+        nodes, edges = parse(last.where("change <> 'unlink'"))
+        nodes.write.mode("overwrite").parquet(f"{path}/nodes/batch={number}")
+        edges.write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        last.select(F.col("path").alias("file_path")).write.mode("overwrite").parquet(f"{path}/files/batch={number}")
+        last.unpersist()
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the newest version of each file; an edge needs both its ends."""
+    newest_files = spark.read.parquet(f"{path}/files").groupBy("file_path").agg(F.max("batch").alias("batch"))
+    nodes, edges = (spark.read.parquet(f"{path}/{t}").join(newest_files, ["file_path", "batch"], "left_semi").drop("batch") for t in ("nodes", "edges"))
+    return nodes, valid_edges(edges, nodes)

@@ -66,3 +66,28 @@ def test_maintenance_replaces_changed_files(spark, tmp_path):
     nodes, edges = (spark.read.parquet(str(tmp_path / "batch0" / t)) for t in ("nodes", "edges"))
     assert {r["id"] for r in nodes.collect()} == {"a", "b", "d"}
     assert {(r["source_id"], r["target_id"]) for r in edges.collect()} == {("a", "b"), ("b", "d")}
+
+
+def test_a_batch_writes_only_its_changes(spark, tmp_path):
+    node = lambda i, f: (i, i, i, "function", f, 1, 2, None, False, None, None, "r", "go", 1)
+
+    def parse(changed):
+        rows = [tuple(r) for r in changed.select("path", "content_hash").collect()]
+        # a file's version names its nodes; each file calls a node of b.go
+        nodes = spark.createDataFrame([node(f"{p[0]}{v}", p) for p, v in rows], NODES)
+        edges = spark.createDataFrame([(p, f"{p[0]}{v}-b1", f"{p[0]}{v}", "b1", "calls", 0.9, "r", 1) for p, v in rows], "file_path string, id string, source_id string, target_id string, kind string, confidence double, repository_id string, seq long")
+        return nodes, edges
+
+    change = lambda seq, path, kind, version: {"ts": _at(seq), "seq": seq, "path": path, "change": kind, "content_hash": version}
+    run = lambda: feeds.append_changes(feeds.change_feed(spark, str(tmp_path / "feed")), str(tmp_path / "graph"), parse, str(tmp_path / "ckpt")).awaitTermination()
+    graph = lambda: tuple({r[c] for r in df.collect()} for df, c in zip(feeds.current_graph(spark, str(tmp_path / "graph")), ("id", "source_id"), strict=True))
+    _drop(tmp_path / "feed", "1.json", [change(1, "a.go", "add", "1"), change(2, "b.go", "add", "1"), change(3, "c.go", "add", "1")])
+    run()
+    assert graph() == ({"a1", "b1", "c1"}, {"a1", "b1", "c1"})
+    _drop(tmp_path / "feed", "2.json", [change(4, "a.go", "change", "2"), change(5, "c.go", "unlink", None)])
+    run()
+    assert graph() == ({"a2", "b1"}, {"a2", "b1"})
+    assert spark.read.parquet(str(tmp_path / "graph" / "nodes" / "batch=1")).count() == 1
+    _drop(tmp_path / "feed", "3.json", [change(6, "b.go", "change", "2")])
+    run()
+    assert graph() == ({"a2", "b2"}, set())

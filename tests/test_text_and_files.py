@@ -186,3 +186,33 @@ def test_stemmed_search_and_the_stored_index(spark, tmp_path):
     assert stored("runs") == scan(now, "runs") and stored("runner") == []
     text_index.add_batch(docs.limit(0), "id", both, path, 2, docs.select("id"))
     assert {i for i, _ in stored("runs")} == {6}
+
+
+def test_export_lists_and_constants(spark):
+    content = "class A {\n}\nfunction b() {\n}\nfunction c() {\n}\nexport {\n  A,\n  b as bee,\n}\nexport { c } from './c'\nexport const K = 1, L = 2\nexport type T = string\n"
+    assert sorted(one(spark, files.exported_names(F.lit(content)))) == ["A", "K", "T", "b"] and [x for x in one(spark, files.exported_names(F.lit("let x"))) if x] == []
+    found = spark.createDataFrame([("a.ts", "r", "typescript", content)], "path string, repository_id string, language string, content string")
+    assert {(r["name"], r["is_exported"]) for r in files.symbols(found).collect()} >= {("A", True), ("b", True), ("c", False)}
+
+
+def test_texts_that_scrubbing_passes_over(spark):
+    texts = ["PA\u017fSWORD = hunter2hunter2", "password\x1c=\x1fhunter2hunter2", "password\u00a0= hunter2hunter2", "plain", "", None, "token: " + "a" * 20 + "\nx token: " + "a" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.scrub(F.col("t")).alias("s")).orderBy("k").collect()
+    assert [len(r["s"]["detected"]) for r in rows] == [1, 1, 1, 0, 0, 0, 2]
+    assert [r["s"]["scrubbed"] for r in rows[3:6]] == ["plain", "", None] and rows[6]["s"]["scrubbed"] == "[REDACTED:token]\nx [REDACTED:token]"
+    assert [d["line"] for d in rows[6]["s"]["detected"]] == [1, 2]
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    import os
+
+    from tessera import storage
+
+    kept = list(storage._PATHS)
+    storage._PATHS.clear()  # what other tests settled stays
+    try:
+        storage.settle(spark.range(3), "mine")
+        where = storage._PATHS[0].removeprefix("file:")
+        assert os.path.isdir(where) and storage.clear_scratch(spark) == 1 and not os.path.exists(where)
+    finally:
+        storage._PATHS.extend(kept)
