@@ -9,8 +9,8 @@ from tessera.operators import aggregate, lookup, merge
 from tessera.plans.bindings import GRAPH_SQL, edges, nodes
 from tessera.storage import read
 
-_CURRENT = "SELECT c_custkey AS path, 'h' || c_nationkey AS hash, c_custkey * 10 AS mtime FROM customer WHERE c_custkey % 11 <> 0"
-_STORED = "SELECT c_custkey AS path, CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE 'h' || c_nationkey END AS hash, c_custkey * 10 AS mtime, CASE WHEN c_custkey % 5 = 0 THEN 'error' ELSE 'indexed' END AS status FROM customer WHERE c_custkey % 13 <> 0"
+_CURRENT = "SELECT c_custkey AS path, 'h' || c_nationkey AS hash, c_custkey * 10 AS mtime FROM customer WHERE c_mktsegment <> 'BUILDING'"
+_STORED = "SELECT c_custkey AS path, CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE 'h' || c_nationkey END AS hash, c_custkey * 10 AS mtime, CASE WHEN c_custkey % 5 = 0 THEN 'error' ELSE 'indexed' END AS status FROM customer WHERE c_mktsegment <> 'MACHINERY'"
 _REQUESTS = "SELECT event_id, ts, event_type AS tool, value AS duration, event_type = 'error' AS error, user_id AS ip FROM events"
 
 
