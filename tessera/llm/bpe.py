@@ -8,7 +8,8 @@ The vocabulary writes each byte as one printable character. Decoding maps the ch
 through that byte table, so an id that holds only part of a multi-byte character gives back exactly its bytes, and
 the parts join to the character again.
 
-Defined results: a null text counts as empty and gives no ids; repeated rows are encoded one by one; an empty table
+Defined results: a null text counts as empty and gives no ids; a text or piece of any length is encoded whole; of
+equal pairs the leftmost merges first, as the ranks say; repeated rows are encoded one by one; an empty table
 gives an empty result; other columns of the input are not read.
 """
 

@@ -9,7 +9,9 @@ Profiles are counted over all training rows: those of known language whose id's
 Language, source and id are no inputs of a prediction.
 
 Defined results: ``und`` and score 0.0 for a null text, a text without a letter, or without any profile; a null id
-counts as held out; repeated rows are judged one by one; an empty table gives an empty result.
+counts as held out; a text of any length is read whole; of equally near languages the one that sorts first is given;
+repeated rows are judged one by one; an empty table gives an empty result; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations

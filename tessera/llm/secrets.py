@@ -11,6 +11,7 @@ keys hold padding, and values follow paths.
 Places are code points, ends exclusive. A row's spans are found within the row, so a hot source moves no data. Long
 runs are cut into pieces that overlap by a window less a character, and stretches that meet at a cut are joined, so
 the time grows with the length of a run and not with its square; no pattern here goes back over a run or recurses.
+Which spans cover which is found in one pass over a text's sorted spans, however many it has.
 
 Defined results: a null text counts as empty and has no span; repeated rows are scanned one by one; an empty table
 gives an empty result; a text or run of any length is read whole; of spans that start together the kind listed first
@@ -56,6 +57,7 @@ _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 #: Characters of all classes lie between these; a window's counts are a string with one place for each.
 _FIRST, _LAST = ord("+"), ord("z")
 _PLACES, _STRETCHES = "array<struct<start:int,end:int,found:string>>", "array<struct<start:int,end:int>>"
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 # The expressions below are SQL text: they are large, and text is parsed much faster than columns are composed.
 
@@ -69,6 +71,11 @@ def _let(name: str, value: str, then: str) -> str:
     return f"get(transform(array({value}), {name} -> {then}), 0)"
 
 
+def _blocks(xs: str) -> str:
+    """The array, which is not empty, cut into blocks: a fold over blocks copies no array that grows with the text."""
+    return f"transform(sequence(0, cast(floor((size({xs}) - 1) / {BLOCK}) AS int)), k -> slice({xs}, k * {BLOCK} + 1, {BLOCK}))"
+
+
 def _finds(text: str, pattern: str, one: str) -> str:
     """Array of (start, end, found) of all matches of ``pattern``; ``one`` is a pattern that some match needs.
 
@@ -80,8 +87,7 @@ def _finds(text: str, pattern: str, one: str) -> str:
     found = f"transform(regexp_extract_all({text}, {_quoted(rf'(?s)\G.*?(?:{pattern})')}, 0), p -> named_struct('n', length(p), 'found', regexp_extract(p, {_quoted(pattern)}, 0)))"
     place = "(a, x) -> named_struct('at', a.at + x.n, 'out', concat(a.out, array(named_struct('start', a.at + x.n - length(x.found), 'end', a.at + x.n, 'found', x.found))))"
     block = f"(acc, b) -> aggregate(b, named_struct('at', acc.at, 'out', {none}), {place}, d -> named_struct('at', d.at, 'out', concat(acc.out, array(d.out))))"
-    blocks = f"transform(sequence(0, cast(floor((size(xs) - 1) / {BLOCK}) AS int)), k -> slice(xs, k * {BLOCK} + 1, {BLOCK}))"
-    folded = f"aggregate({blocks}, named_struct('at', 0, 'out', cast(array() AS array<{_PLACES}>)), {block}, acc -> flatten(acc.out))"
+    folded = f"aggregate({_blocks('xs')}, named_struct('at', 0, 'out', cast(array() AS array<{_PLACES}>)), {block}, acc -> flatten(acc.out))"
     return f"CASE WHEN rlike({text}, {_quoted(one)}) THEN {_let('xs', found, f'CASE WHEN size(xs) > 0 THEN {folded} ELSE {none} END')} ELSE {none} END"
 
 
@@ -149,6 +155,22 @@ def entropy_spans(text: str) -> list[Column]:
     return [F.expr(_class(text, *c)) for c in CLASSES]
 
 
+def _uncovered(base: str, more: str) -> str:
+    """All base spans, and of the method's own those that no span of a kind listed before covers, sorted.
+
+    One pass by start: a span is covered if one of a kind before has begun and ends no sooner, so the farthest end of
+    each kind says it.
+    """
+    none = f"cast(array() AS {_SPANS})"
+    covered = f"x.kind >= {len(SHAPES)} AND exists(slice(a.far, 1, x.kind), e -> e >= x.end)"
+    far = "transform(a.far, (e, k) -> CASE WHEN k = x.kind THEN greatest(e, x.end) ELSE e END)"
+    step = f"(a, x) -> named_struct('far', {far}, 'out', CASE WHEN {covered} THEN a.out ELSE concat(a.out, array(x)) END)"
+    block = f"(acc, b) -> aggregate(b, named_struct('far', acc.far, 'out', {none}), {step}, d -> named_struct('far', d.far, 'out', concat(acc.out, array(d.out))))"
+    zero = f"named_struct('far', array({', '.join('-1' for _ in _KINDS)}), 'out', cast(array() AS array<{_SPANS}>))"
+    folded = f"aggregate({_blocks('xs')}, {zero}, {block}, acc -> flatten(acc.out))"
+    return f"CASE WHEN size({more}) = 0 THEN {base} ELSE {_let('xs', f'array_sort(concat({base}, {more}))', folded)} END"
+
+
 def _written(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in _KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -160,9 +182,7 @@ def _found(docs: DataFrame, text: Column, **kept: Column) -> DataFrame:
     shaped = own.withColumn("base", F.struct(*[c.alias(f"s{k}") for k, c in enumerate(base_spans("text"))]))
     shaped = shaped.withColumn("base_spans", F.concat(*[F.col(f"base.s{k}") for k in range(len(SHAPES))]))
     more = shaped.withColumn("more", F.concat(*entropy_spans("text")))
-    new = F.filter("more", lambda w: ~F.exists("base_spans", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
-    # of the method's own spans, one that another covers says nothing new
-    return more.withColumn("spans", F.concat("base_spans", F.filter(new, lambda w: ~F.exists(F.col("more"), lambda o: (o["kind"] < w["kind"]) & (o["start"] <= w["start"]) & (w["end"] <= o["end"])))))
+    return more.withColumn("spans", F.expr(_uncovered("base_spans", "more")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

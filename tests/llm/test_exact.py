@@ -46,8 +46,12 @@ def test_quality_llr_matches_brute_force(spark):
     target = spark.createDataFrame([(i,) for i in (5, 6, 7, 8, None)], "doc_id long")
     out = quality.quality_rules(docs, target).collect()
     grams = lambda t: [(t or "").encode()[i : i + quality.NGRAM] for i in range(len((t or "").encode()) - quality.NGRAM + 1)]
-    code, _ = quality._ngrams(pa.array([t for _, t in ROWS]), quality.BUCKETS, quality.NGRAM)
-    bucket = dict(zip([g for _, t in ROWS for g in grams(t)], code.tolist(), strict=True))
+    bucket = {}
+    for g in {g for _, t in ROWS for g in grams(t)}:  # a multiplicative hash of the bytes, of which the upper bits count
+        code = 0
+        for byte in g:
+            code = (code * 0x01000193 + byte) % 2**32
+        bucket[g] = (code * 0x9E3779B1 % 2**32) >> (33 - quality.BUCKETS.bit_length())
     raw, trusted = Counter(), Counter()
     for i, t in ROWS:
         raw.update(bucket[g] for g in grams(t))
@@ -293,6 +297,19 @@ def test_long_runs_match_brute_force_and_do_not_use_the_stack(spark):
     assert out[3] == out[4] == "" and out[6].count("hex:") == 3_000
 
 
+def test_texts_of_many_spans_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    line = lambda n, chars: "".join(rnd.choice(chars) for _ in range(n))
+    kinds = (lambda: line(40, "0123456789abcdef"), lambda: "token = " + line(30, "ABCxyz0189qQ"), lambda: line(30, "0123456789ABCDEF"), lambda: line(50, "ABCDEFGHabcdefgh0123456789"))
+    short = "\n".join(rnd.choice(kinds)() for _ in range(700))
+    long = "\n".join(rnd.choice(kinds)() for _ in range(20_000))
+    out = {r["id"]: r for r in secrets.scan(documents(spark, [(1, short), (2, long)])).collect()}
+    assert out[1]["spans"] == ",".join(f"{_NAMES[k]}:{a}:{b}" for a, k, b in _secret_spans(short)[1])
+    assert out[2]["spans"].count(":") / 2 == out[2]["n_assign"] + out[2]["n_access"] + out[2]["n_hex"] + out[2]["n_entropy"] > 20_000
+
+
 def test_redaction_masks_every_span_and_nothing_else(spark):
     docs = documents(spark, [(1, "a token=abcdefghijklmn b"), (2, "clean"), (3, None), (4, "AKIA" + "A" * 20 + " 0123456789abcdef0")])
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,36 @@ def test_ngrams_and_ranks_match_brute_force():
     assert language.ranked(np.array([5, 3, 9]), np.array([1, 1, 7]), 2).tolist() == [9, 3]
 
 
+def test_out_of_place_distances_match_brute_force(spark):
+    rnd = random.Random(6)
+    mixed = [(i, " ".join(_text(rnd, rnd.choice(list(SYLLABLES)), 4) for _ in range(rnd.randrange(1, 5))), rnd.choice([*SYLLABLES, None])) for i in range(120)]
+    data = [*mixed, (200, "q" * 3_000_000, None), (201, "the " * 50_000, None), (202, None, None), (203, "…", None), (204, mixed[0][1], "en"), (204, mixed[0][1], "en")]
+    top = 40
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        joined = " " + " ".join(words) + " " if words else ""
+        return Counter(g for n in (1, 2, 3) for i in range(len(joined) - n + 1) if (g := joined[i : i + n]) != " ")
+
+    def order(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [0] * (3 - len(x[0])) + [ord(c) for c in x[0]]))[:top]]
+
+    totals: dict[str, Counter] = {}
+    for i, text, lang in data:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            totals.setdefault(lang, Counter()).update(grams(text))
+    known = {lang: order(c) for lang, c in totals.items()}
+    expected = []
+    for i, text, _ in data:
+        own = order(grams(text))
+        away = {lang: sum(abs(p.index(g) - k) if g in p else top for k, g in enumerate(own)) for lang, p in known.items()}
+        best = min(sorted(away), key=away.get)
+        expected.append((i, zlib.crc32(str(i).encode()) % 3 == 1, best if own else "und", round(1 - away[best] / (top * len(own)), 9) if own else 0.0))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = language.identify(docs, language.profiles(docs, top=top), top=top).collect()
+    assert sorted((r["id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in out) == sorted(expected)
+
+
 def test_toxicity_held_out_and_defined_results(spark):
     rnd = random.Random(8)
     bad = ["grzblat", "grzbling", "vortunk"]
