@@ -33,6 +33,16 @@ _DECLARATION = (
 )
 _METHOD = r"^\s+(?:(?:public|private|protected|internal|static|async|final|override)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_$][\w$]*)\s*\([^;]*\)\s*(?::\s*[^{;]+)?\{\s*$"
 
+#: A method whose header goes on in further lines, or whose block opens on a line of its own.
+_OPEN_METHOD = r"^\s+(?:(?:public|private|protected|internal|static|async|final|override)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_$][\w$]*)\s*\([^;{}=]*$"
+#: A line that closes a header of several lines, or only opens the block.
+_HEAD_END = r"^\s*(?:[)}\]][^;]*[{:]|\{)\s*$"
+_NO_METHODS = (*CALL_KEYWORDS, "foreach", "using", "lock", "synchronized", "with", "elif", "match", "guard", "unless", "until")
+
+_DOC_IN_PYTHON = r"(?s)\A[^\n(:]*(?:\((?:[^()]++|\([^()]*+\))*+\))?[^\n:(]*:[ \t]*(?:#[^\n]*)?\n\s*[rRuU]?(?:\"{3}(.*?)\"{3}|'{3}(.*?)'{3})"
+_DOC_BLOCK = r"(?s)/\*\*(?!/)((?:[^*]++|\*(?!/))*+)\*/\s*(?:[@#\[][^\n]*\n\s*)*+\z"
+_DOC_LINES = r"(?m)((?:^[ \t]*{mark}[^\n]*\n)++)(?:[ \t]*[@#\[][^\n]*\n)*+\z"
+
 
 def extension(path: Column) -> Column:
     return F.lower(F.element_at(F.split(path, r"\."), -1))
@@ -98,11 +108,14 @@ def _outline(content: Column) -> Column:
 
     def entry(text: Column, at: Column) -> Column:
         word, name, method = F.regexp_extract(text, _DECLARATION, 1), F.regexp_extract(text, _DECLARATION, 2), F.regexp_extract(text, _METHOD, 1)
-        is_method = (name == "") & (method != "") & ~method.isin(*CALL_KEYWORDS)
+        open_method = F.regexp_extract(text, _OPEN_METHOD, 1)
+        is_method = (name == "") & (method != "") & ~method.isin(*_NO_METHODS)
         return F.struct(
             (at + 1).alias("line"),
             (F.length(text) - F.length(F.ltrim(text))).alias("indent"),
             text.rlike(r"^\s*[})\]]").alias("closing"),
+            text.rlike(_HEAD_END).alias("head_end"),
+            F.when((name == "") & ~is_method & (open_method != "") & ~open_method.isin(*_NO_METHODS), open_method).alias("open_method"),
             F.when(is_method, "method").when(word.isin("def", "fn", "func", "fun"), "function").otherwise(word).alias("word"),
             F.when(is_method, method).otherwise(name).alias("name"),
             F.regexp_extract(text, r"^\s*(public|private|protected|internal)\b", 1).alias("visibility"),
@@ -113,6 +126,35 @@ def _outline(content: Column) -> Column:
     return F.filter(F.transform(F.split(content, "\n"), entry), lambda x: ~x["blank"])
 
 
+def _after(x: Column, d: Column) -> Column:
+    """Whether a line stands behind a declaration and is indented no deeper."""
+    return (x["line"] > d["line"]) & (x["indent"] <= d["indent"])
+
+
+def _with_open_methods(outline: Column) -> Column:
+    """The outline, in which methods are declared too whose header ends on a later line."""
+
+    def entry(d: Column) -> Column:
+        ends = F.get(F.filter(outline, lambda x: _after(x, d)), F.lit(0))
+        # looked up only for lines that may be such a header
+        holds = F.when(d["open_method"].isNotNull(), F.coalesce(ends["head_end"] & (ends["indent"] == d["indent"]), F.lit(False))).otherwise(False)
+        return d.withField("word", F.when(holds, "method").otherwise(d["word"])).withField("name", F.when(holds, d["open_method"]).otherwise(d["name"]))
+
+    return F.transform(outline, entry)
+
+
+def _docstring(rows: Column, language: Column, above: Column, line: Column, end: Column) -> Column:
+    """What documents a declaration: a string that its block begins with, or the comment right above it. ``above`` is
+    the line of the declaration before, so that no comment is looked for twice."""
+    own = F.array_join(F.slice(rows, line, F.greatest(end - line + 1, F.lit(1))), "\n")
+    inside = F.concat(F.regexp_extract(own, _DOC_IN_PYTHON, 1), F.regexp_extract(own, _DOC_IN_PYTHON, 2))
+    before = F.concat(F.array_join(F.slice(rows, above + 1, F.greatest(line - 1 - above, F.lit(0))), "\n"), F.lit("\n"))
+    block = F.regexp_replace(F.regexp_extract(before, _DOC_BLOCK, 1), r"(?m)^[ \t]*\*[ \t]?", "")
+    slashes = F.when(language == "go", F.regexp_extract(before, _DOC_LINES.format(mark="//"), 1)).otherwise(F.regexp_extract(before, _DOC_LINES.format(mark="///"), 1))
+    found = F.when(language == "python", inside).when(block != "", block).otherwise(F.regexp_replace(slashes, r"(?m)^[ \t]*/{2,}!?[ \t]?", ""))
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(found, r"(?m)^[ \t]+|[ \t\r]+$", ""), r"\A\n+|\n+\z", "")), F.lit(""))
+
+
 def exported_names(content: Column) -> Column:
     """Names that a file exports: of its exported declarations, and of its export lists by their local name."""
     declared = F.regexp_extract_all(content, F.lit(r"(?m)^\s*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|const|let|var|type|enum)\s+([\w$]+)"), F.lit(1))
@@ -128,19 +170,28 @@ def symbols(files: DataFrame) -> DataFrame:
     A declaration ends before the next line that is indented no deeper, or with it if it closes a block; its parent is
     the nearest declaration before it that is indented less.
     """
-    outlined = files.select("path", "repository_id", "language", F.size(F.split("content", "\n")).alias("total"), _outline(F.col("content")).alias("outline"), exported_names(F.col("content")).alias("exported_names"))
-    own = outlined.select("*", F.explode(F.filter("outline", lambda x: x["name"] != "")).alias("d"))
-    end_at = F.get(F.filter("outline", lambda x: (x["line"] > F.col("d.line")) & (x["indent"] <= F.col("d.indent"))), F.lit(0))
-    above = F.filter("outline", lambda x: (x["line"] < F.col("d.line")) & (x["indent"] < F.col("d.indent")) & (x["name"] != ""))
-    by_name = F.array_contains("exported_names", F.col("d.name"))
-    placed = own.select("path", "repository_id", "language", "total", "d", by_name.alias("by_name"), end_at.alias("end_at"), F.get(above, F.size(above) - 1)["name"].alias("parent"))
-    end = F.when(F.col("end_at").isNull(), F.col("total")).otherwise(F.col("end_at.line") - F.when(F.col("end_at.closing"), 0).otherwise(1))
+    outlined = files.select("path", "repository_id", "language", F.split("content", "\n").alias("rows"), _outline(F.col("content")).alias("outline"), exported_names(F.col("content")).alias("exported_names"))
+    outlined = outlined.withColumn("outline", _with_open_methods(F.col("outline"))).withColumn("declared", F.filter("outline", lambda x: x["name"] != ""))
+
+    def place(d: Column, k: Column) -> Column:
+        # the line that closes the header does not end the declaration
+        end_at = F.get(F.filter("outline", lambda x: _after(x, d) & ~(x["head_end"] & (x["indent"] == d["indent"]))), F.lit(0))
+        outer = F.filter("declared", lambda x: (x["line"] < d["line"]) & (x["indent"] < d["indent"]))
+        before = F.when(k > 0, F.get("declared", k - 1)["line"]).otherwise(0)
+        return F.struct(d.alias("d"), end_at["line"].alias("end_line"), end_at["closing"].alias("closed"), F.get(outer, F.size(outer) - 1)["name"].alias("parent"), before.alias("above"))
+
+    # places are found before the rows are dealt out, so that no declaration carries its whole file
+    placed = outlined.withColumn("placed", F.transform("declared", place))
+    ends = lambda p: F.when(p["end_line"].isNull(), F.size("rows")).otherwise(p["end_line"] - F.when(p["closed"], 0).otherwise(1))
+    full = F.transform("placed", lambda p: F.struct(p["d"].alias("d"), ends(p).alias("end"), p["parent"].alias("parent"), _docstring(F.col("rows"), F.col("language"), p["above"], p["d"]["line"], ends(p)).alias("docstring"), F.array_contains("exported_names", p["d"]["name"]).alias("by_name")))
+    own = placed.select("path", "repository_id", "language", F.explode(full).alias("p")).select("path", "repository_id", "language", "p.*")
+    end = F.col("end")
     qualified = F.concat_ws(".", "parent", "d.name")
     line = F.col("d.line")
     seq = F.shiftleft(F.pmod(F.xxhash64("path"), F.lit(1 << 40)), 20) + line
-    return placed.select(
+    return own.select(
         node_id(F.col("path"), qualified, line).alias("id"), F.col("d.name").alias("name"), qualified.alias("qualified_name"), node_kind(F.col("d.word")).alias("kind"), F.col("path").alias("file_path"),
-        line.alias("line_start"), end.cast("int").alias("line_end"), visibility(F.col("d.visibility")).alias("visibility"), (F.col("d.exported") | F.col("by_name")).alias("is_exported"), F.lit(None).cast("string").alias("docstring"),
+        line.alias("line_start"), end.cast("int").alias("line_end"), visibility(F.col("d.visibility")).alias("visibility"), (F.col("d.exported") | F.col("by_name")).alias("is_exported"), "docstring",
         F.lit(None).cast("int").alias("complexity"), "repository_id", "language", seq.alias("seq"),
     )
 
@@ -165,12 +216,14 @@ def calls(with_bodies: DataFrame) -> DataFrame:
 
 
 def parents(with_bodies: DataFrame) -> DataFrame:
-    """(child_id, parent_name, kind, repository_id) from the declaration line."""
-    head = F.substring_index("body", "\n", 1)
-    python = F.split(F.regexp_extract(head, r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), ",")
+    """(child_id, parent_name, kind, repository_id) from the header of the declaration."""
+    # a header ends with its block's opening; in Python only its brackets go over lines
+    head = F.when(F.col("language") == "python", F.substring_index("body", "\n", 1)).otherwise(F.regexp_extract("body", r"^[^{;]*", 0))
+    python = F.split(F.regexp_extract("body", r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), ",")
     extends = F.concat(F.array(F.regexp_extract(head, r"\bextends\s+(\w+)", 1)), python)
     implements = F.split(F.regexp_extract(head, r"\bimplements\s+([\w\s,]+)", 1), ",")
-    both = F.concat(F.transform(extends, lambda x: F.struct(F.trim(x).alias("n"), F.lit("extends").alias("k"))), F.transform(implements, lambda x: F.struct(F.trim(x).alias("n"), F.lit("implements").alias("k"))))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "").alias("n")
+    both = F.concat(F.transform(extends, lambda x: F.struct(bare(x), F.lit("extends").alias("k"))), F.transform(implements, lambda x: F.struct(bare(x), F.lit("implements").alias("k"))))
     own = with_bodies.where(F.col("kind").isin("class", "interface"))
     return own.select(F.col("id").alias("child_id"), F.explode(F.filter(both, lambda x: x["n"] != "")).alias("x"), "repository_id").select("child_id", F.col("x.n").alias("parent_name"), F.col("x.k").alias("kind"), "repository_id")
 

@@ -121,6 +121,38 @@ def test_a_source_tree_end_to_end(spark, tmp_path):
     assert parts.count() == nodes.count() and {len(r["embedding"]) for r in parts.collect()} == {64}
 
 
+WIDE = {
+    "a.ts": "/**\n * Says hello.\n * Twice.\n */\n@Injectable()\nexport class Hello\n  extends Base\n  implements Runs, Stops\n{\n  // no doc\n  say(\n    name: string,\n  ): void {\n    call(\n      name,\n    );\n  }\n}\n\nfunction wide(\n  a,\n  b,\n) {\n  return a;\n}\n",
+    "b.py": "class Tool(\n    Base,\n    Other,\n):\n    \"\"\"A tool.\n\n    For work.\n    \"\"\"\n\n    def run(self, x: int = f(1)) -> int:  # note\n        'no doc'\n        return x\n\n    def go(\n        self,\n    ):\n        r\"\"\"Goes.\"\"\"\n        if self.run(1):\n            \"\"\"no doc\"\"\"\n",
+    "c.go": "// Run runs.\n// Again.\nfunc Run() {\n}\n\n// apart\n\nfunc Other() {\n}\n",
+    "d.rs": "/// Adds.\n#[inline]\npub fn add(a: i32) -> i32 {\n    a\n}\n// plain\nfn sub() {\n}\n",
+    "e.cs": "public class Box\n{\n    /// Opens it.\n    public int Open(int by)\n    {\n        foreach (var x in y)\n        {\n        }\n        return by;\n    }\n}\n",
+}
+
+
+def test_headers_of_several_lines_and_docstrings(spark):
+    rows = [(p, "r", p.rsplit(".", 1)[1], c) for p, c in WIDE.items()]
+    found = spark.createDataFrame(rows, "path string, repository_id string, ext string, content string").withColumn("language", files.language(F.col("path"))).drop("ext")
+    nodes = files.symbols(found)
+    out = {(r["file_path"], r["qualified_name"]): (r["kind"], r["line_start"], r["line_end"], r["docstring"]) for r in nodes.collect()}
+    assert out == {
+        ("a.ts", "Hello"): ("class", 6, 18, "Says hello.\nTwice."),
+        ("a.ts", "Hello.say"): ("method", 11, 17, None),
+        ("a.ts", "wide"): ("function", 20, 25, None),
+        ("b.py", "Tool"): ("class", 1, 20, "A tool.\n\nFor work."),
+        ("b.py", "Tool.run"): ("function", 10, 13, None),
+        ("b.py", "Tool.go"): ("function", 14, 20, "Goes."),
+        ("c.go", "Run"): ("function", 3, 4, "Run runs.\nAgain."),
+        ("c.go", "Other"): ("function", 8, 9, None),
+        ("d.rs", "add"): ("function", 3, 5, "Adds."),
+        ("d.rs", "sub"): ("function", 7, 8, None),
+        ("e.cs", "Box"): ("class", 1, 11, None),
+        ("e.cs", "Box.Open"): ("method", 4, 10, "Opens it."),
+    }
+    above = {(r["parent_name"], r["kind"]) for r in files.parents(files.bodies(nodes, found)).collect()}
+    assert above == {("Base", "extends"), ("Runs", "implements"), ("Stops", "implements"), ("Other", "extends")}
+
+
 def test_compact_payload(spark):
     rows = spark.createDataFrame([("1", "a", "function", None, "r", "go", 1), ("2", "b", "class", 3, "r", "go", 2)], "id string, name string, kind string, complexity int, repository_id string, language string, seq int")
     payload = json.loads(compact.compact_page(rows, 2, False).first()["payload"])
