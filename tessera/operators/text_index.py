@@ -4,7 +4,7 @@ Batches are appended: each is one folder of postings, words and document version
 tried again. The newest version of a document counts; a deleted one has a version without a length. Postings are cut
 into buckets by word, and by a salt of the document so that a word of every document is many tasks' work; within a
 file they are sorted by word, so a search reads a few row groups of a few buckets. Stems are stored once for each
-word of a batch, and a search looks up the words of its stems.
+word of a batch, and a search looks up the words of its stems. :func:`compact` makes one batch of all.
 """
 
 from __future__ import annotations
@@ -22,6 +22,18 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
+def _salt(doc: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")
+
+
+def _postings(spark: SparkSession, path: str, id_type: str) -> DataFrame:
+    return spark.read.schema(f"word string, field string, id {id_type}, positions array<int>, batch int, bucket int").parquet(f"{path}/postings")
+
+
+def _write_postings(dealt: DataFrame, path: str, batch: int) -> None:
+    dealt.drop("salt").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+
+
 def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, batch: int, deleted: DataFrame | None = None) -> None:
     """Writes new and changed documents, and the ids in ``deleted`` (id), as batch ``batch``; numbers must grow.
 
@@ -38,9 +50,9 @@ def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, bat
     every = F.array(*[F.struct(F.lit(c).alias("field"), t.alias("words")) for c, t in zip(text_cols, held, strict=True)])
     fields = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("f"))
     placed = fields.select("id", "f.field", F.posexplode("f.words").alias("position", "word"))
-    dealt = placed.withColumns({"bucket": _bucket(F.col("word")), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")}).repartition("bucket", "salt")
+    dealt = placed.withColumns({"bucket": _bucket(F.col("word")), "salt": _salt(F.col("id"))}).repartition("bucket", "salt")
     lists = dealt.groupBy("bucket", "salt", "word", "field", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    lists.drop("salt").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    _write_postings(lists, path, batch)
 
     # the words come from the postings just written, which hold each once a document
     words = docs.sparkSession.read.schema("word string").parquet(f"{path}/postings/batch={batch}").distinct()
@@ -54,6 +66,22 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("id", "v.length", "v.batch").where("length IS NOT NULL")
 
 
+def compact(spark: SparkSession, path: str, into: str) -> int:
+    """Writes the index anew below ``into``, as one batch of the newest versions only, and gives that batch's number:
+    the largest so far, so further batches go on from it. ``path`` stays as it is, for searches that still read it.
+    """
+    last = spark.read.parquet(f"{path}/versions").agg(F.max("batch")).first()[0]
+    live = current(spark, path)
+    live.select("id", "length").write.mode("overwrite").parquet(f"{into}/versions/batch={last}")
+    stored = _postings(spark, path, live.schema["id"].dataType.simpleString()).join(live.select("id", "batch"), ["id", "batch"], "left_semi")
+    dealt = stored.select("word", "field", "id", "positions", "bucket", _salt(F.col("id")).alias("salt")).repartition("bucket", "salt")
+    _write_postings(dealt, into, last)
+    words = spark.read.schema("word string, stem string").parquet(f"{path}/words").distinct()
+    kept = words.join(spark.read.schema("word string").parquet(f"{into}/postings/batch={last}").distinct(), "word", "left_semi")
+    kept.sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{into}/words/batch={last}")
+    return last
+
+
 def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20, offset: int = 0, stem: bool = True, fields: list[str] | None = None) -> DataFrame:
     """(id, rank, score), as ``search.exact_search`` gives for the documents that the index holds now."""
     live = current(spark, path)
@@ -75,8 +103,7 @@ def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20,
     rows = slots.select("word", "bucket").distinct().collect()
     if not rows:
         return nothing
-    stored = spark.read.schema(f"word string, field string, id {kind}, positions array<int>, batch int, bucket int").parquet(f"{path}/postings")
-    postings = stored.where(F.col("bucket").isin(*{r["bucket"] for r in rows}) & F.col("word").isin(*[r["word"] for r in rows]))
+    postings = _postings(spark, path, kind).where(F.col("bucket").isin(*{r["bucket"] for r in rows}) & F.col("word").isin(*[r["word"] for r in rows]))
     if fields is not None:
         postings = postings.where(F.col("field").isin(*fields))
     own = postings.drop("bucket").join(F.broadcast(slots.drop("bucket")), "word")

@@ -115,8 +115,26 @@ def append_changes(changes: DataFrame, path: str, parse: Callable[[DataFrame], t
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest_versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    newest_files = spark.read.parquet(f"{path}/files").groupBy("file_path").agg(F.max("batch").alias("batch"))
+    return tuple(spark.read.parquet(f"{path}/{t}").join(newest_files, ["file_path", "batch"], "left_semi").drop("batch") for t in ("nodes", "edges"))
+
+
 def current_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the newest version of each file; an edge needs both its ends."""
-    newest_files = spark.read.parquet(f"{path}/files").groupBy("file_path").agg(F.max("batch").alias("batch"))
-    nodes, edges = (spark.read.parquet(f"{path}/{t}").join(newest_files, ["file_path", "batch"], "left_semi").drop("batch") for t in ("nodes", "edges"))
+    nodes, edges = _newest_versions(spark, path)
     return nodes, valid_edges(edges, nodes)
+
+
+def compact_changes(spark: SparkSession, path: str, into: str) -> int:
+    """Writes what :func:`append_changes` has gathered anew below ``into``, as one batch of the newest versions only,
+    and gives its number: the largest so far, so a stream with the same checkpoint goes on there.
+
+    Run it between two runs of the stream. Edges whose other end is missing are kept: it may come with a later batch.
+    """
+    last = spark.read.parquet(f"{path}/files").agg(F.max("batch")).first()[0]
+    nodes, edges = _newest_versions(spark, path)
+    nodes.write.mode("overwrite").parquet(f"{into}/nodes/batch={last}")
+    edges.write.mode("overwrite").parquet(f"{into}/edges/batch={last}")
+    nodes.select("file_path").union(edges.select("file_path")).distinct().write.mode("overwrite").parquet(f"{into}/files/batch={last}")
+    return last

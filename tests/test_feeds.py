@@ -79,8 +79,8 @@ def test_a_batch_writes_only_its_changes(spark, tmp_path):
         return nodes, edges
 
     change = lambda seq, path, kind, version: {"ts": _at(seq), "seq": seq, "path": path, "change": kind, "content_hash": version}
-    run = lambda: feeds.append_changes(feeds.change_feed(spark, str(tmp_path / "feed")), str(tmp_path / "graph"), parse, str(tmp_path / "ckpt")).awaitTermination()
-    graph = lambda: tuple({r[c] for r in df.collect()} for df, c in zip(feeds.current_graph(spark, str(tmp_path / "graph")), ("id", "source_id"), strict=True))
+    run = lambda to="graph": feeds.append_changes(feeds.change_feed(spark, str(tmp_path / "feed")), str(tmp_path / to), parse, str(tmp_path / "ckpt")).awaitTermination()
+    graph = lambda to="graph": tuple({r[c] for r in df.collect()} for df, c in zip(feeds.current_graph(spark, str(tmp_path / to)), ("id", "source_id"), strict=True))
     _drop(tmp_path / "feed", "1.json", [change(1, "a.go", "add", "1"), change(2, "b.go", "add", "1"), change(3, "c.go", "add", "1")])
     run()
     assert graph() == ({"a1", "b1", "c1"}, {"a1", "b1", "c1"})
@@ -88,6 +88,8 @@ def test_a_batch_writes_only_its_changes(spark, tmp_path):
     run()
     assert graph() == ({"a2", "b1"}, {"a2", "b1"})
     assert spark.read.parquet(str(tmp_path / "graph" / "nodes" / "batch=1")).count() == 1
+    assert feeds.compact_changes(spark, str(tmp_path / "graph"), str(tmp_path / "merged")) == 1
+    assert graph("merged") == graph() and spark.read.parquet(str(tmp_path / "merged" / "nodes")).count() == 2
     _drop(tmp_path / "feed", "3.json", [change(6, "b.go", "change", "2")])
-    run()
-    assert graph() == ({"a2", "b2"}, set())
+    run("merged")
+    assert graph("merged") == ({"a2", "b2"}, set())

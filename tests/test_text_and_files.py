@@ -216,6 +216,12 @@ def test_stemmed_search_and_the_stored_index(spark, tmp_path):
     text_index.add_batch(spark.createDataFrame([(2, None, "run"), (6, "runs", None)], schema), "id", both, path, 1, spark.createDataFrame([(3,), (2,)], "id long"))
     now = spark.createDataFrame([(1, "Run", "he runs running running fast"), (2, None, "run"), (4, "", ""), (5, None, None), (6, "runs", None)], schema)
     assert stored("runs") == scan(now, "runs") and stored("runner") == []
+    before = {phrase: stored(phrase) for phrase in ("runs", "running fast", "run")}
+    merged = str(tmp_path / "merged")
+    assert text_index.compact(spark, path, merged) == 1
+    path = merged
+    assert {phrase: stored(phrase) for phrase in before} == before
+    assert spark.read.parquet(f"{path}/postings").where("id = 3").isEmpty() and spark.read.parquet(f"{path}/words").where("word = 'fastly'").isEmpty()
     text_index.add_batch(docs.limit(0), "id", both, path, 2, docs.select("id"))
     assert {i for i, _ in stored("runs")} == {6}
 
