@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, language, quality, secrets, simhash, substrings, token_counts, toxicity, urls
+from tessera.llm import bpe, decontaminate, language, periodic, quality, secrets, simhash, spelling, substrings, token_counts, topk, toxicity, urls
 from tessera.llm.tables import read, scratch, settle
 
 
@@ -106,6 +106,61 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.profiles(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = r"""
+WITH usable AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY q.row ORDER BY list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) DESC, c.vec_id) AS rank
+  FROM usable q JOIN usable c ON q.row <> c.row WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def planted_repeats(doc_id: Column, text: Column) -> Column:
+    """The text with its tail repeated, for the ids whose crc32 h is divisible by 10: from word a = g % n on, where
+    g = h / 10, the next p words over and over, p = 1 + (n - a) / (3 + g % 8) in whole numbers. A null id has no h."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(words, a + i % p))
+        return F.when(n > 0, F.concat_ws(" ", F.slice(words, F.lit(1), a), tail)).otherwise(F.lit(""))
+
+    # bound once by the lambda, so that the words of a text are found once
+    words = F.array(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return F.when(h % 10 == 0, F.get(F.transform(words, repeated), F.lit(0))).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", planted_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    return digest_of_runs(periodic.find(docs))
+
+
+def digest_of_runs(found: DataFrame) -> DataFrame:
+    """n_runs, the greatest run (of equal ones that of the smallest start, then period) and digests of runs and text."""
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    greatest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = found.select("id", "runs", "collapsed", greatest.alias("g"), F.concat_ws("", lines).alias("said"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("g.start").alias("start"), (-F.col("g.less")).alias("length"), F.col("g.period").alias("period"),
+        F.expr("(-1000 * g.less) div g.period").alias("exponent_milli"), F.sha2("said", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text"), slip=spelling.deleted_letter(199))
+    return spelling.variants(counted)
+
+
 OP9_SQL = r"""
 WITH parsed AS (
   SELECT page_id, url,
@@ -144,6 +199,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_url_filter": op9_url_filter,
         "op10_language": op10_language,
+        "op11_exact_topk": op11_exact_topk,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -151,4 +209,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "token_counts_words": TOKEN_COUNTS_WORDS_SQL.replace("\\\\", "\\"),
         "op9_url_filter": OP9_SQL.replace("\\\\", "\\"),
+        "op11_exact_topk": OP11_SQL,
     }

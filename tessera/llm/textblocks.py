@@ -169,6 +169,34 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Small numbers of the byte spans (sorted, not overlapping): two spans have the same number if and only if their
+    bytes are the same. Unlike hashes, these need no comparison behind them; they hold within one call only."""
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    packed = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
+    spans_ = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
+    return spans_.dictionary_encode().indices.to_numpy()
+
+
+def joined(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space. ``starts`` and ``ends`` are those of the texts' words."""
+    at = np.flatnonzero(kept)
+    row = np.searchsorted(off, starts[at], "right")
+    gap = ends[at[:-1]][row[:-1] == row[1:]]  # behind a word that is not its text's last stands white space
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[starts[at]] += 1
+    inside[ends[at]] -= 1
+    mask = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    mask[gap] = True
+    spaced = data.copy()
+    spaced[gap] = 0x20
+    offsets = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))[off]
+    return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(spaced[mask]))]).cast(pa.string())
+
+
 def window_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive tokens: entry i covers tokens i to i + k - 1."""
     n = len(tokens)
