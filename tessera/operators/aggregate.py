@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,29 @@ def payload_sizes(payloads: DataFrame, column: str = "payload") -> DataFrame:
 def new_names(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
     """Names per scenario that only the candidate has."""
     return candidate.join(baseline, ["scenario", "name"], "left_anti").select("scenario", "name").distinct()
+
+
+def limited(requests: DataFrame, key: str = "ip", seconds: int = 60, most: int = 10) -> DataFrame:
+    """(key, ts, allowed) of requests (key, ts): a fixed window begins at a key's first request, the next at its first
+    request after that, and each lets ``most`` requests through. Requests without a time are left out.
+
+    Where a window begins depends on all windows before it, so each key's requests are gone through in order of time:
+    one shuffle by key, one sort that may spill, and a pass that holds a batch of rows and three values.
+    """
+    window = 1_000_000 * seconds
+    kind = requests.schema[key].dataType.simpleString()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, began, n = object(), 0, 0
+        for batch in batches:
+            allowed = []
+            for own, us in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != current or us - began >= window:
+                    current, began, n = own, us, 0
+                n += 1
+                allowed.append(n <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], ["key", "us", "allowed"])
+
+    timed = requests.where("ts IS NOT NULL").select(F.col(key).alias("key"), F.unix_micros("ts").alias("us"))
+    judged = timed.repartition("key").sortWithinPartitions("key", "us").mapInArrow(judge, f"key {kind}, us long, allowed boolean")
+    return judged.select(F.col("key").alias(key), F.timestamp_micros("us").alias("ts"), "allowed")

@@ -82,6 +82,10 @@ def debounced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.debounced(own, F.expr("INTERVAL 2 HOURS"))
 
 
+def limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.limited(read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", 12 * 3600, 2)
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w"))
     return own.agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")).select("user_id", F.col("w.start").alias("session_start"), "n", "last_event")
@@ -153,6 +157,7 @@ QUERIES = {
     "rolling_requests": (rolling_requests, f"SELECT event_id, count(*) OVER w AS n, round(avg(duration) OVER w, 6) AS avg_duration, round(avg(CAST(error AS DOUBLE)) OVER w, 6) AS error_rate FROM ({_REQUESTS}) WINDOW w AS (PARTITION BY tool ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"),
     "over_limit": (over_limit, f"SELECT ip, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n FROM ({_REQUESTS}) GROUP BY 1, 2 HAVING count(*) > 4"),
     "debounced_changes": (debounced_changes, "SELECT path, ts, change FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, seq) AS next_ts FROM (SELECT user_id AS path, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 'unlink' ELSE 'change' END AS change FROM events)) WHERE change = 'unlink' OR next_ts IS NULL OR next_ts - ts >= INTERVAL 2 HOURS"),
+    "limited_requests": (limited_requests, "WITH RECURSIVE starts(user_id, began) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id UNION ALL SELECT s.user_id, min(e.ts) FROM starts s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.began + INTERVAL 12 HOURS GROUP BY s.user_id), placed AS (SELECT e.user_id, e.ts, max(s.began) AS began FROM events e JOIN starts s ON s.user_id = e.user_id AND s.began <= e.ts GROUP BY e.user_id, e.ts, e.event_id) SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, began ORDER BY ts) <= 2 AS allowed FROM placed"),
     "sessions": (sessions, "SELECT user_id, min(ts) AS session_start, count(*) AS n, max(event_id) AS last_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
     "payload_sizes": (payload_sizes, "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(ceil(strlen(text) / 4)) AS BIGINT) AS tokens FROM conversations"),
     "new_names": (new_names, "WITH own AS (SELECT o_orderpriority AS scenario, 'c' || o_custkey AS name, o_orderstatus FROM orders) SELECT DISTINCT scenario, name FROM own WHERE o_orderstatus = 'F' AND (scenario, name) NOT IN (SELECT (scenario, name) FROM own WHERE o_orderstatus <> 'F')"),

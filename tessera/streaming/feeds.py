@@ -11,6 +11,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.merge import delete_nodes, newest, upsert, valid_edges
+from tessera.streaming.timers import debounce, ordered_rate_limit
+
+__all__ = ["append_changes", "change_feed", "compact_changes", "current_graph", "debounce", "maintain", "ordered_rate_limit", "rate_limit", "rolling_metrics"]
 
 CHANGES = "ts timestamp, seq long, path string, change string, content_hash string"
 REQUESTS = "ts timestamp, tool string, duration double, error boolean, ip string"
@@ -21,16 +24,6 @@ def change_feed(spark: SparkSession, folder: str, schema: str = CHANGES) -> Data
     return spark.readStream.schema(schema).json(folder)
 
 
-def debounce(changes: DataFrame, quiet: str = "200 milliseconds", late: str = "1 second") -> DataFrame:
-    """(path, ts, change): the last change of each burst, where a burst ends after the quiet time.
-
-    State is one session a path that is still open; the watermark closes it.
-    """
-    last = F.max_by(F.struct("ts", "change"), F.struct("ts", "seq")).alias("last")
-    bursts = changes.withWatermark("ts", late).groupBy("path", F.session_window("ts", quiet)).agg(last)
-    return bursts.select("path", F.col("last.ts").alias("ts"), F.col("last.change").alias("change"))
-
-
 def rolling_metrics(requests: DataFrame, length: str = "60 seconds", step: str = "10 seconds", late: str = "10 seconds") -> DataFrame:
     """Number, mean duration and error rate of the requests of each tool in sliding windows."""
     by = requests.withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "tool")
@@ -39,9 +32,10 @@ def rolling_metrics(requests: DataFrame, length: str = "60 seconds", step: str =
 
 
 def rate_limit(requests: DataFrame, seconds: int = 60, most: int = 10, late: str = "60 seconds") -> DataFrame:
-    """(ip, ts, allowed): a fixed window begins at a key's first request and lets ``most`` through.
+    """(ip, ts, allowed), at once: a fixed window begins at a key's first request and lets ``most`` through.
 
-    State is two numbers a key, dropped once the watermark is past its window. Requests later than ``late`` are not
+    Requests count in the order they come in, and by time within a micro-batch; :func:`ordered_rate_limit` waits until
+    their order is settled. State is two numbers a key, dropped once the watermark is past its window. Requests later than ``late`` are not
     judged. Time is that of the requests alone, so a feed that is read again gives the same answers.
     """
     window = seconds * 1_000_000
