@@ -1,37 +1,47 @@
 """A stored inverted index that changes keep up, and phrase search that reads only the postings of its words.
 
-Batches are appended: each is one folder of postings, words and document versions, overwritten as a whole if it is
-tried again. The newest version of a document counts; a deleted one has a version without a length. Postings are cut
-into buckets by word, and by a salt of the document so that a word of every document is many tasks' work; within a
-file they are sorted by word, so a search reads a few row groups of a few buckets. Stems are stored once for each
-word of a batch, and a search looks up the words of its stems. :func:`compact` makes one batch of all.
+The index is a snapshot log (:mod:`tessera.snapshots`). A batch adds postings, words and document versions, and all
+three are published by one commit: a batch that dies half-way leaves searches on the snapshot before, and a batch that
+is tried again after its commit changes nothing. The newest version of a document counts; a deleted one has a version
+without a length. Postings are cut into buckets by word, and by a salt of the document so that a word of every
+document is many tasks' work; within a file they are sorted by word, so a search reads a few row groups of a few
+buckets. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
+:func:`compact` makes one batch of all.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stems
 from tessera.operators.search import best, tokens
+from tessera.snapshots import SnapshotLog, Writer
 
+#: Folders of postings by word, and the least number of tasks that write one of them.
 BUCKETS, SALTS = 64, 8
+#: Characters of text whose postings one task writes; a batch of more is dealt over more salts.
+TASK_CHARS = 1 << 27
+_STREAM = "index"
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _salt(doc: Column) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")
+def _salt(doc: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int")
 
 
-def _postings(spark: SparkSession, path: str, id_type: str) -> DataFrame:
-    return spark.read.schema(f"word string, field string, id {id_type}, positions array<int>, batch int, bucket int").parquet(f"{path}/postings")
+def _salts(chars: int | None) -> int:
+    return max(SALTS, math.ceil((chars or 0) / (BUCKETS * TASK_CHARS)))
 
 
-def _write_postings(dealt: DataFrame, path: str, batch: int) -> None:
-    dealt.drop("salt").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+def _stage_postings(writer: Writer, dealt: DataFrame, replace: bool = False) -> None:
+    stage = writer.replace if replace else writer.append
+    stage("postings", dealt.drop("salt").sortWithinPartitions("bucket", "word"), ("bucket",))
 
 
 def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, batch: int, deleted: DataFrame | None = None) -> None:
@@ -39,52 +49,70 @@ def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, bat
 
     A document without text has length 0; one that is both changed and deleted stays. Ids come once a batch.
     """
+    log = SnapshotLog(docs.sparkSession, path)
+    manifest = log.manifest()
+    if log.committed(_STREAM, batch, manifest):
+        return
+    writer = Writer(log, manifest)
     held = [tokens(F.col(c)) for c in text_cols]
     length = sum([F.size(t) for t in held[1:]], F.size(held[0]))
+    number = F.lit(batch).alias("batch")
     versions = docs.select(F.col(id_col).alias("id"), length.alias("length"))
     if deleted is not None:
         gone = deleted.select("id").join(versions.select("id"), "id", "left_anti")
         versions = versions.unionByName(gone.select("id", F.lit(None).cast("int").alias("length")))
-    versions.write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
+    writer.append("versions", versions.select("id", "length", number))
 
+    chars = docs.agg(F.sum(sum([F.coalesce(F.length(F.col(c)), F.lit(0)) for c in text_cols], F.lit(0)).cast("long"))).first()[0]
+    salts = _salts(chars)
     every = F.array(*[F.struct(F.lit(c).alias("field"), t.alias("words")) for c, t in zip(text_cols, held, strict=True)])
     fields = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("f"))
     placed = fields.select("id", "f.field", F.posexplode("f.words").alias("position", "word"))
-    dealt = placed.withColumns({"bucket": _bucket(F.col("word")), "salt": _salt(F.col("id"))}).repartition("bucket", "salt")
+    dealt = placed.withColumns({"bucket": _bucket(F.col("word")), "salt": _salt(F.col("id"), salts)}).repartition("bucket", "salt")
     lists = dealt.groupBy("bucket", "salt", "word", "field", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    _write_postings(lists, path, batch)
+    _stage_postings(writer, lists.select("word", "field", "id", "positions", number, "bucket", "salt"))
 
-    # the words come from the postings just written, which hold each once a document
-    words = docs.sparkSession.read.schema("word string").parquet(f"{path}/postings/batch={batch}").distinct()
-    words.select("word", stems(F.array("word"))[0].alias("stem")).sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/words/batch={batch}")
+    words = placed.select("word").distinct()
+    writer.append("words", words.select("word", stems(F.array("word"))[0].alias("stem")).sortWithinPartitions("stem"))
+    writer.commit(_STREAM, batch)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
+def current(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame:
     """(id, length, batch): the newest version of each document that is not deleted."""
-    versions = spark.read.parquet(f"{path}/versions")
+    versions = SnapshotLog(spark, path).read("versions", manifest=manifest)
     newest = versions.groupBy("id").agg(F.max_by(F.struct("length", "batch"), "batch").alias("v"))
     return newest.select("id", "v.length", "v.batch").where("length IS NOT NULL")
 
 
-def compact(spark: SparkSession, path: str, into: str) -> int:
-    """Writes the index anew below ``into``, as one batch of the newest versions only, and gives that batch's number:
-    the largest so far, so further batches go on from it. ``path`` stays as it is, for searches that still read it.
+def compact(spark: SparkSession, path: str, into: str | None = None) -> int:
+    """Writes the index anew as one batch of the newest versions only, and gives that batch's number: the largest so
+    far, so further batches go on from it.
+
+    Without ``into`` that is the next snapshot of ``path``, refused if a batch is added meanwhile; searches go on
+    reading the one before until then, and ``SnapshotLog.expire`` removes it. With ``into`` it is an index of its own.
     """
-    last = spark.read.parquet(f"{path}/versions").agg(F.max("batch")).first()[0]
-    live = current(spark, path)
-    live.select("id", "length").write.mode("overwrite").parquet(f"{into}/versions/batch={last}")
-    stored = _postings(spark, path, live.schema["id"].dataType.simpleString()).join(live.select("id", "batch"), ["id", "batch"], "left_semi")
-    dealt = stored.select("word", "field", "id", "positions", "bucket", _salt(F.col("id")).alias("salt")).repartition("bucket", "salt")
-    _write_postings(dealt, into, last)
-    words = spark.read.schema("word string, stem string").parquet(f"{path}/words").distinct()
-    kept = words.join(spark.read.schema("word string").parquet(f"{into}/postings/batch={last}").distinct(), "word", "left_semi")
-    kept.sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{into}/words/batch={last}")
+    log = SnapshotLog(spark, path)
+    manifest = log.manifest()
+    last = manifest["batches"][_STREAM]
+    target = log if into is None else SnapshotLog(spark, into)
+    writer = Writer(target, manifest if into is None else target.manifest())
+    live = current(spark, path, manifest)
+    number = F.lit(last).alias("batch")
+    writer.replace("versions", live.select("id", "length", number))
+    stored = log.read("postings", manifest=manifest).join(live.select("id", "batch"), ["id", "batch"], "left_semi")
+    dealt = stored.select("word", "field", "id", "positions", number, "bucket", _salt(F.col("id"), SALTS).alias("salt")).repartition("bucket", "salt")
+    _stage_postings(writer, dealt, replace=True)
+    kept = log.read("words", manifest=manifest).distinct().join(stored.select("word").distinct(), "word", "left_semi")
+    writer.replace("words", kept.sortWithinPartitions("stem"))
+    writer.commit(*(() if into is None else (_STREAM, last)))
     return last
 
 
 def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20, offset: int = 0, stem: bool = True, fields: list[str] | None = None) -> DataFrame:
     """(id, rank, score), as ``search.exact_search`` gives for the documents that the index holds now."""
-    live = current(spark, path)
+    log = SnapshotLog(spark, path)
+    manifest = log.manifest()  # one snapshot for the whole search
+    live = current(spark, path, manifest)
     said = tokens(F.lit(phrase))
     wanted = spark.range(1).select((stems(said) if stem else said).alias("t")).first()["t"]
     kind = live.schema["id"].dataType.simpleString()
@@ -95,7 +123,7 @@ def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20,
     slots = spark.createDataFrame(list(enumerate(wanted)), "slot int, wanted string")
     if stem:
         # a stem has as many words as suffixes can be put to it: a few dozen
-        listed = spark.read.parquet(f"{path}/words").where(F.col("stem").isin(*wanted)).select("word", "stem").distinct()
+        listed = log.read("words", manifest=manifest).where(F.col("stem").isin(*wanted)).select("word", "stem").distinct()
         slots = slots.join(F.broadcast(listed), F.col("wanted") == F.col("stem")).select("slot", "word")
     else:
         slots = slots.select("slot", F.col("wanted").alias("word"))
@@ -103,7 +131,7 @@ def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20,
     rows = slots.select("word", "bucket").distinct().collect()
     if not rows:
         return nothing
-    postings = _postings(spark, path, kind).where(F.col("bucket").isin(*{r["bucket"] for r in rows}) & F.col("word").isin(*[r["word"] for r in rows]))
+    postings = log.read("postings", manifest=manifest).where(F.col("bucket").isin(*{r["bucket"] for r in rows}) & F.col("word").isin(*[r["word"] for r in rows]))
     if fields is not None:
         postings = postings.where(F.col("field").isin(*fields))
     own = postings.drop("bucket").join(F.broadcast(slots.drop("bucket")), "word")
