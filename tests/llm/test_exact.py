@@ -41,6 +41,20 @@ def test_quality_base_counts_match_brute_force():
     assert list(zip(*(got[c].tolist() for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [_base(t) for t in texts]
 
 
+def _thue_morse(n: int) -> tuple[str, str]:
+    """Two texts of n letters whose polynomial hashes modulo 2**64 are alike, whatever the letters' values are."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [512, 1024, 4096])
+def test_quality_base_counts_of_texts_that_hash_alike(size):
+    one, other = _thue_morse(size)
+    texts = [f"{one}\n{other}", f"{one}\n{other}\n{one}", " ".join(["a b c d e f g", one, "a b c d e f g", other]), " ".join(["a b c d e f g", one] * 2), None, ""]
+    got = quality.base_counts(pa.array(texts))
+    assert list(zip(*(got[c].tolist() for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [_base(t) for t in texts]
+
+
 def test_quality_llr_matches_brute_force(spark):
     docs = documents(spark, ROWS)
     target = spark.createDataFrame([(i,) for i in (5, 6, 7, 8, None)], "doc_id long")
