@@ -3,7 +3,8 @@
 An Arrow string column is already one contiguous UTF-8 byte buffer plus offsets, so words, lines, n-grams and
 their 64-bit hashes are found with whole-array numpy operations; nothing loops over words in Python.
 
-Hashes are polynomial hashes modulo 2**64 over a fixed random byte table, finished with a bit mixer. Two different
+Hashes are polynomial hashes modulo 2**64 over a fixed random byte table, finished with a bit mixer; such hashes can be
+alike for long spans of a certain form, so spans of more than LONG_SPAN bytes have keyed BLAKE2 hashes. Two different
 words of a corpus of 10**9 distinct ones share a hash with a chance near 3 %, so operators that need exactness
 compare the texts behind equal hashes.
 """
@@ -11,6 +12,7 @@ compare the texts behind equal hashes.
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 BLOCK_BYTES = 1 << 18
 ROW = "__row"
+#: Longest span whose hash is a polynomial.
+LONG_SPAN = 64
+_KEY = b"spans"
 
 _U = np.uint64
 _B = _U(0x9E3779B97F4A7C15)
@@ -166,6 +171,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(_BYTE_VALUES[data[base : base + size - 1]] * up[:-1], out=sums[1:])
         out[at:to] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(_U))
         at = to
+    for k in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
     return out
 
 

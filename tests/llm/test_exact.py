@@ -55,6 +55,14 @@ def test_quality_base_counts_of_texts_that_hash_alike(size):
     assert list(zip(*(got[c].tolist() for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [_base(t) for t in texts]
 
 
+def test_long_words_of_one_form_hash_apart(spark):
+    one, other = _thue_morse(1024)
+    head = " ".join(f"w{i}" for i in range(6))
+    docs = documents(spark, [(1, f"{head} {one} {head}"), (2, f"{head} {other} {head}")])
+    items = spark.createDataFrame([(1, f"{one} {head}"[:2000])], "item_id long, text string")
+    assert {r["id"] for r in decontaminate.overlaps(docs, items).collect()} == {1}
+
+
 def test_quality_llr_matches_brute_force(spark):
     docs = documents(spark, ROWS)
     target = spark.createDataFrame([(i,) for i in (5, 6, 7, 8, None)], "doc_id long")
