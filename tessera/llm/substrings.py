@@ -49,6 +49,8 @@ CHARS_PER_SHARD, LEAST_SHARDS = 48_000_000, 8
 PASSAGES, PHRASES = 6_000, 40_000
 #: Distinct passages beyond which a key is divided, estimated from one text in SAMPLE and all of over LONG words.
 CROWDED, SAMPLE, LONG = 1_000, 8, 4_000
+#: Slots in which crowded keys are remembered, a bit each: what reaches the driver and every task is 1 MB at most.
+CROWDED_SLOTS = 1 << 23
 
 _LAST = np.iinfo(np.int64).max
 
@@ -178,17 +180,23 @@ def _marked_texts(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def _crowded(texts: DataFrame) -> np.ndarray:
-    """The keys of about CROWDED distinct passages or more, sorted. What is missed or taken too much costs time only."""
-    none = np.zeros(0, np.int64)
+    """A bit for each slot of keys, CROWDED_SLOTS of them, that is set if a key of about CROWDED distinct passages or
+    more is in it. Other keys of such a slot are divided too, which changes no result."""
+    none = np.zeros(CROWDED_SLOTS // 8, np.uint8)
     some = lambda part, weight: _passages(part, none).select("key", F.xxhash64("passage").alias("p"), F.lit(weight).alias("w"))
     seen = some(texts.where(F.col("n_words") > LONG), 1).unionByName(some(texts.where((F.col("n_words") <= LONG) & (F.pmod("row", F.lit(SAMPLE)) == 0)), SAMPLE))
     n = seen.groupBy("key", "p").agg(F.max("w").alias("w")).groupBy("key").agg(F.sum("w").alias("n"))
-    return np.sort(np.array([r[0] for r in n.where(F.col("n") > CROWDED).select("key").collect()], dtype=np.int64))
+    slot = n.where(F.col("n") > CROWDED).select(F.col("key").bitwiseAND(F.lit(CROWDED_SLOTS - 1)).alias("slot"))
+    words = slot.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    packed = np.zeros(CROWDED_SLOTS // 64, dtype=np.int64)
+    for word, bits in words.collect():  # at most CROWDED_SLOTS / 64 rows
+        packed[word] = bits
+    return packed.view(np.uint8)
 
 
 def _passages(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
-    """(row, id, at, key, passage): the passages of each text and the word that each starts at; of ``crowded`` keys the
-    windows, with keys of their own."""
+    """(row, id, at, key, passage): the passages of each text and the word that each starts at; of keys in
+    ``crowded`` slots the windows, with keys of their own."""
     shared = texts.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +212,8 @@ def _passages(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
                 window = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=b - a).view(bool) for c, a, b in zip(part.column(3).to_pylist(), bounds[:-1], bounds[1:], strict=True)])[: len(place)]
                 at = np.flatnonzero(window)
                 keys = grams[place[at]].view(np.int64)
-                divided = np.isin(keys, shared.value)
+                slot = keys & (CROWDED_SLOTS - 1)
+                divided = (shared.value[slot >> 3] >> (slot & 7)) & 1 == 1
                 keys[divided] = tb.window_hashes(tokens, WINDOW)[at[divided]].view(np.int64)
                 new = np.flatnonzero(divided | np.concatenate(([True], (np.diff(at) > 1) | (place[at[1:]] != place[at[:-1]]))))
                 first, last = at[new], at[np.append(new[1:], len(at)) - 1] + WINDOW - 1
