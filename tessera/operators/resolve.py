@@ -37,22 +37,34 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, empty, lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))), "/")
 
 
+def first_symbols(nodes: DataFrame) -> DataFrame:
+    """(file_path, repository_id, source_id): a file's first function, class or method, else its first node."""
+    ranked = F.struct((~F.col("kind").isin("function", "class", "method")).alias("other"), "seq", "id")
+    return nodes.groupBy("file_path", "repository_id").agg(F.min(ranked)["id"].alias("source_id"))
+
+
+def target_paths(file_path: Column, source: Column) -> Column:
+    """The paths that a relative source can stand for."""
+    base = normal_path(F.concat_ws("/", directory(file_path), source))
+    return F.transform(F.array(*[F.lit(s) for s in IMPORT_SUFFIXES]), lambda s: F.concat(base, s))
+
+
+def names_of_path(path: Column) -> Column:
+    """The ways in which an import can name a file: with and without its ending."""
+    return F.array_distinct(F.array(path, F.regexp_replace(path, r"\.(ts|tsx|js|jsx)$", "")))
+
+
 def import_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     """``imports``: (file_path, source, imported, repository_id). Only relative sources resolve.
 
     The path test becomes a second join key: each import names the few paths that its source can stand for. The
-    importing symbol is the file's first function, class or method, else its first node.
+    importing symbol is that of :func:`first_symbols`.
     """
-    ranked = F.struct((~F.col("kind").isin("function", "class", "method")).alias("other"), "seq", "id")
-    first = nodes.groupBy("file_path", "repository_id").agg(F.min(ranked)["id"].alias("source_id"))
-    base = normal_path(F.concat_ws("/", directory(F.col("file_path")), F.col("source")))
-    stems = F.array(*[F.concat(F.col("base"), F.lit(s)) for s in IMPORT_SUFFIXES])
-    wanted = imports.where(F.col("source").startswith(".")).withColumn("base", base).select("file_path", "imported", "repository_id", F.explode(stems).alias("target_path")).distinct()
+    wanted = imports.where(F.col("source").startswith(".")).select("file_path", "imported", "repository_id", F.explode(target_paths(F.col("file_path"), F.col("source"))).alias("target_path")).distinct()
     placed = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("imported"), "repository_id", F.col("file_path").alias("own_path"))
-    bare = F.regexp_replace("own_path", r"\.(ts|tsx|js|jsx)$", "")
-    targets = placed.select("target_id", "imported", "repository_id", "own_path", F.explode(F.array_distinct(F.array("own_path", bare))).alias("target_path"))
+    targets = placed.select("target_id", "imported", "repository_id", "own_path", F.explode(names_of_path(F.col("own_path"))).alias("target_path"))
     found = wanted.join(targets, ["imported", "repository_id", "target_path"]).where("own_path <> file_path")
-    return found.join(first, ["file_path", "repository_id"]).select(*_edge(F.lit("imports"), 1.0)).dropDuplicates(["id"])
+    return found.join(first_symbols(nodes), ["file_path", "repository_id"]).select(*_edge(F.lit("imports"), 1.0)).dropDuplicates(["id"])
 
 
 def resolve(nodes: DataFrame, calls: DataFrame, imports: DataFrame, parents: DataFrame) -> DataFrame:
