@@ -1,8 +1,9 @@
 """Source trees as tables: files, symbols and references, by built-in functions.
 
-A file is read once as binary; declarations are found by regex, and a declaration's end and parent follow from
-indentation, all within the file's row, so nothing is shuffled. This covers the common declaration forms of the listed
-languages, not full grammars.
+A file is read once as binary. Comments and literals are blanked (:mod:`tessera.sources.lexer`), declarations are found
+by regex in what is left, and a declaration's end and parent follow from the brackets of its block, or from indentation
+where blocks have none, all within the file's row, so nothing is shuffled. This covers the common declaration forms of
+the listed languages, not full grammars.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ignore import ignored
 from tessera.schema import node_id, short_hash
+from tessera.sources.lexer import BRACES, braces, code_only, extents
 
 # What a walk skips, what it takes, and what each extension means.
 SKIP_DIRS = (
@@ -39,6 +41,16 @@ _OPEN_METHOD = r"^\s+(?:(?:public|private|protected|internal|static|async|final|
 _HEAD_END = r"^\s*(?:[)}\]][^;]*[{:]|\{)\s*$"
 _NO_METHODS = (*CALL_KEYWORDS, "foreach", "using", "lock", "synchronized", "with", "elif", "match", "guard", "unless", "until")
 
+# generic arguments, three deep
+_GENERIC = r"<[^<>(){};]*(?:<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>[^<>(){};]*)*>"
+_MODIFIERS = r"(?:@[\w.]+(?:\([^()]*\))?\s+)*(?:(?:public|private|protected|internal|static|async|final|override|abstract|virtual|synchronized|readonly|sealed|inline|unsafe|get|set)\s+)*"
+_TYPED = rf"(?:{_GENERIC}\s*)?(?:[\w$.]+(?:{_GENERIC})?[?\[\]*&]*\s+[*&]*)"
+#: A header that may be a method's if it stands in a type and opens a block, and one of a function outside of blocks.
+_IN_TYPE = rf"^\s*{_MODIFIERS}{_TYPED}?([A-Za-z_$][\w$]*)\s*(?:{_GENERIC})?\s*\("
+_OUTSIDE = rf"^(?:(?:static|inline|extern|const|unsigned|signed|struct)\s+)*{_TYPED}+([A-Za-z_]\w*)\s*\("
+_TYPES = ("class", "interface", "struct", "enum", "trait", "namespace", "module")
+_PLAIN_FUNCTIONS = ("c", "cpp", "dart")
+
 _DOC_IN_PYTHON = r"(?s)\A[^\n(:]*(?:\((?:[^()]++|\([^()]*+\))*+\))?[^\n:(]*:[ \t]*(?:#[^\n]*)?\n\s*[rRuU]?(?:\"{3}(.*?)\"{3}|'{3}(.*?)'{3})"
 _DOC_BLOCK = r"(?s)/\*\*(?!/)((?:[^*]++|\*(?!/))*+)\*/\s*(?:[@#\[][^\n]*\n\s*)*+\z"
 _DOC_LINES = r"(?m)((?:^[ \t]*{mark}[^\n]*\n)++)(?:[ \t]*[@#\[][^\n]*\n)*+\z"
@@ -113,7 +125,7 @@ def _outline(content: Column) -> Column:
         return F.struct(
             (at + 1).alias("line"),
             (F.length(text) - F.length(F.ltrim(text))).alias("indent"),
-            text.rlike(r"^\s*[})\]]").alias("closing"),
+            text.rlike(r"^\s*(?:[})\]]|end\s*$)").alias("closing"),
             text.rlike(_HEAD_END).alias("head_end"),
             F.when((name == "") & ~is_method & (open_method != "") & ~open_method.isin(*_NO_METHODS), open_method).alias("open_method"),
             F.when(is_method, "method").when(word.isin("def", "fn", "func", "fun"), "function").otherwise(word).alias("word"),
@@ -155,6 +167,38 @@ def _docstring(rows: Column, language: Column, above: Column, line: Column, end:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(found, r"(?m)^[ \t]+|[ \t\r]+$", ""), r"\A\n+|\n+\z", "")), F.lit(""))
 
 
+def _by_brackets(code: Column, language: Column) -> Column:
+    """Declarations (d), their last lines and their parents' names, by the brackets of blocks."""
+
+    def entry(text: Column, at: Column) -> Column:
+        word, name = F.regexp_extract(text, _DECLARATION, 1), F.regexp_extract(text, _DECLARATION, 2)
+        taken = lambda pattern: F.regexp_extract(text, pattern, 1)
+        only = lambda found: F.when(found.isin(*_NO_METHODS), "").otherwise(found)
+        counts = braces(text)
+        return F.struct(
+            (at + 1).alias("line"), counts["delta"].alias("delta"), counts["low"].alias("low"), counts["high"].alias("high"), text.rlike(r";\s*$").alias("stops"),
+            F.when(word.isin("def", "fn", "func", "fun"), "function").otherwise(word).alias("word"), name.alias("name"), word.isin(*_TYPES).alias("holds"),
+            F.when(name == "", only(taken(_IN_TYPE))).otherwise("").alias("method"), F.when((name == "") & language.isin(*_PLAIN_FUNCTIONS), only(taken(_OUTSIDE))).otherwise("").alias("plain"),
+            F.regexp_extract(text, r"^\s*(public|private|protected|internal)\b", 1).alias("visibility"), text.rlike(r"^\s*(export|pub)\b").alias("exported"), (F.trim(text) == "").alias("blank"),
+        )
+
+    def placed(outline: Column) -> Column:
+        named = lambda x, inner: F.when(x["name"] != "", x["name"]).when(inner, x["method"]).otherwise(x["plain"])
+
+        def one(e: Column) -> Column:
+            x, outer = F.get(outline, e["k"]), F.get(outline, F.when(e["parent"] >= 0, e["parent"]))
+            inner = e["parent"] >= 0
+            word = F.when(x["name"] != "", x["word"]).when(inner, "method").otherwise("function")
+            d = F.struct(x["line"].alias("line"), word.alias("word"), named(x, inner).alias("name"), x["visibility"].alias("visibility"), x["exported"].alias("exported"))
+            return F.struct(d.alias("d"), e["end"].alias("end"), named(outer, F.lit(True)).alias("parent"))
+
+        return F.transform(extents(outline), one)
+
+    outline = F.filter(F.transform(F.split(code, "\n"), entry), lambda x: ~x["blank"])
+    # bound by the lambda, so that the outline is made once
+    return F.get(F.transform(F.array(outline), placed), F.lit(0))
+
+
 def exported_names(content: Column) -> Column:
     """Names that a file exports: of its exported declarations, and of its export lists by their local name."""
     declared = F.regexp_extract_all(content, F.lit(r"(?m)^\s*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|const|let|var|type|enum)\s+([\w$]+)"), F.lit(1))
@@ -167,23 +211,26 @@ def exported_names(content: Column) -> Column:
 def symbols(files: DataFrame) -> DataFrame:
     """Nodes of every file, found within the file's row.
 
-    A declaration ends before the next line that is indented no deeper, or with it if it closes a block; its parent is
-    the nearest declaration before it that is indented less.
+    A declaration ends with the block it opens, or with its statement; its parent is the innermost declaration that is
+    open where it stands. In languages without braces it ends before the next line that is indented no deeper, or with
+    it if it closes a block; its parent is the nearest declaration before it that is indented less.
     """
-    outlined = files.select("path", "repository_id", "language", F.split("content", "\n").alias("rows"), _outline(F.col("content")).alias("outline"), exported_names(F.col("content")).alias("exported_names"))
-    outlined = outlined.withColumn("outline", _with_open_methods(F.col("outline"))).withColumn("declared", F.filter("outline", lambda x: x["name"] != ""))
+    code = code_only(F.col("content"), F.col("language"))
+    masked = files.select("path", "repository_id", "language", F.split("content", "\n").alias("rows"), code.alias("code"))
+    indented = F.when(~F.col("language").isin(*BRACES), _with_open_methods(_outline(F.col("code"))))
+    outlined = masked.withColumns({"outline": indented, "exported_names": exported_names(F.col("code"))}).withColumn("declared", F.filter("outline", lambda x: x["name"] != ""))
 
-    def place(d: Column, k: Column) -> Column:
+    def place(d: Column) -> Column:
         # the line that closes the header does not end the declaration
         end_at = F.get(F.filter("outline", lambda x: _after(x, d) & ~(x["head_end"] & (x["indent"] == d["indent"]))), F.lit(0))
         outer = F.filter("declared", lambda x: (x["line"] < d["line"]) & (x["indent"] < d["indent"]))
-        before = F.when(k > 0, F.get("declared", k - 1)["line"]).otherwise(0)
-        return F.struct(d.alias("d"), end_at["line"].alias("end_line"), end_at["closing"].alias("closed"), F.get(outer, F.size(outer) - 1)["name"].alias("parent"), before.alias("above"))
+        end = F.when(end_at.isNull(), F.size("rows")).otherwise(end_at["line"] - F.when(end_at["closing"], 0).otherwise(1))
+        return F.struct(F.struct(*[d[c].alias(c) for c in ("line", "word", "name", "visibility", "exported")]).alias("d"), end.alias("end"), F.get(outer, F.size(outer) - 1)["name"].alias("parent"))
 
     # places are found before the rows are dealt out, so that no declaration carries its whole file
-    placed = outlined.withColumn("placed", F.transform("declared", place))
-    ends = lambda p: F.when(p["end_line"].isNull(), F.size("rows")).otherwise(p["end_line"] - F.when(p["closed"], 0).otherwise(1))
-    full = F.transform("placed", lambda p: F.struct(p["d"].alias("d"), ends(p).alias("end"), p["parent"].alias("parent"), _docstring(F.col("rows"), F.col("language"), p["above"], p["d"]["line"], ends(p)).alias("docstring"), F.array_contains("exported_names", p["d"]["name"]).alias("by_name")))
+    placed = outlined.withColumn("placed", F.when(F.col("language").isin(*BRACES), _by_brackets(F.col("code"), F.col("language"))).otherwise(F.transform("declared", place)))
+    above = lambda k: F.when(k > 0, F.get("placed", k - 1)["d"]["line"]).otherwise(0)
+    full = F.transform("placed", lambda p, k: F.struct(p["d"].alias("d"), p["end"].alias("end"), p["parent"].alias("parent"), _docstring(F.col("rows"), F.col("language"), above(k), p["d"]["line"], p["end"]).alias("docstring"), F.array_contains("exported_names", p["d"]["name"]).alias("by_name")))
     own = placed.select("path", "repository_id", "language", F.explode(full).alias("p")).select("path", "repository_id", "language", "p.*")
     end = F.col("end")
     qualified = F.concat_ws(".", "parent", "d.name")
@@ -212,7 +259,7 @@ def called_names(body: Column) -> Column:
 def calls(with_bodies: DataFrame) -> DataFrame:
     """(caller_id, callee_name, line, repository_id) of functions and methods of fewer than MOST_CALL_LINES lines."""
     short = with_bodies.where(F.col("kind").isin("function", "method") & (F.col("line_end") - F.col("line_start") < MOST_CALL_LINES))
-    return short.select(F.col("id").alias("caller_id"), F.explode(called_names(F.col("body"))).alias("callee_name"), F.col("line_start").alias("line"), "repository_id")
+    return short.select(F.col("id").alias("caller_id"), F.explode(called_names(code_only(F.col("body"), F.col("language")))).alias("callee_name"), F.col("line_start").alias("line"), "repository_id")
 
 
 def parents(with_bodies: DataFrame) -> DataFrame:
