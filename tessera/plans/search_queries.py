@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import stem
-from tessera.operators import search, text_index
+from tessera.operators import search, text_index, vector_index
 from tessera.storage import read, scratch
 
 PHRASE, TERMS, TOP = "of the", ["worthless", "the", "que"], 20
@@ -65,6 +65,21 @@ def maintained_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all vectors for every hundredth one."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vector_index.exact_nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", TOP)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored index, which finds nine in ten at least."""
+    vectors, path = read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scratch(spark, "vectors")
+    vector_index.build(vectors, "vec_id", "embedding", path)
+    found = vector_index.nearest(spark, path, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", TOP)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 _IDF = "greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6)"
 _BM25 = f"{_IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))"
 _TOKENS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -112,5 +127,7 @@ df AS (SELECT t, count(*) AS n FROM hits GROUP BY t), ranked AS (SELECT doc_id,
 SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {TOP}"""),
     "posting_counts": (posting_counts, f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n, CAST(max(position) AS INT) AS last_position FROM (SELECT doc_id, unnest(a) AS token, unnest(range(len(a))) AS position FROM (SELECT doc_id, {_TOKENS.format(c='text')} AS a FROM documents)) GROUP BY token"),
     "semantic_search": (semantic_search, f"WITH {_NEAR} SELECT vec_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score FROM near ORDER BY near.distance, vec_id LIMIT {TOP} OFFSET 5"),
+    "exact_neighbours": (exact_neighbours, f"WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS d FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM pairs) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM ranked WHERE rank <= {TOP}"),
+    "indexed_neighbours": (indexed_neighbours, None),
     "hybrid_search": (hybrid_search, f"WITH {_EXACT}, {_NEAR}, legs AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY rank DESC, doc_id)) AS s FROM (SELECT * FROM ranked ORDER BY rank DESC, doc_id LIMIT {2 * TOP}) UNION ALL SELECT vec_id, 1 / (60 + row_number() OVER (ORDER BY distance, vec_id)) FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {2 * TOP})), fused AS (SELECT doc_id, sum(s) AS score FROM legs GROUP BY doc_id) SELECT doc_id, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, doc_id LIMIT {TOP}"),
 }
