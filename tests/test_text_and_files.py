@@ -241,6 +241,47 @@ def test_texts_that_scrubbing_passes_over(spark):
     assert [d["line"] for d in rows[6]["s"]["detected"]] == [1, 2]
 
 
+def _sample(rnd, parsed):
+    """A string that a parsed pattern matches."""
+    from re import _constants as op
+
+    out = ""
+    for kind, arg in parsed:
+        if kind is op.LITERAL:
+            out += chr(arg)
+        elif kind is op.NOT_LITERAL or kind is op.ANY:
+            out += "z"
+        elif kind is op.IN:
+            name, value = rnd.choice(arg)
+            out += "z" if name is op.NEGATE or arg[0][0] is op.NEGATE else chr(rnd.randint(*value)) if name is op.RANGE else chr(value) if name is op.LITERAL else " "
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+            out += "".join(_sample(rnd, arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif kind is op.SUBPATTERN:
+            out += _sample(rnd, arg[3])
+        elif kind is op.BRANCH:
+            out += _sample(rnd, rnd.choice(arg[1]))
+    return out
+
+
+def test_every_match_of_a_pattern_passes_the_first_test(spark):
+    import random
+    import re
+
+    rnd, rows = random.Random(11), []
+    for category, confidence, ignore_case, pattern in text.PATTERNS:
+        if confidence < text.COUNTS_FROM:
+            continue
+        for _ in range(25):
+            sample = _sample(rnd, re._parser.parse(pattern))
+            if ignore_case:
+                sample = "".join(rnd.choice([c, c.upper(), c.lower(), {"s": "\u017f", "k": "\u212a", "i": "\u0131"}.get(c, c)]) for c in sample)
+            if re.search(pattern, sample, re.I if ignore_case else 0):
+                rows.append((category, f"x {sample} y"))
+                assert text._needle(pattern) and any(c in sample for c in text._OTHER_CASES) or text._needle(pattern).lower() in sample.lower()
+    table = spark.createDataFrame(rows, "category string, t string")
+    assert [tuple(r) for r in table.where(~text.may_hold_secrets(F.col("t"))).collect()] == [] and len({c for c, _ in rows}) > 25
+
+
 def test_scratch_is_cleared(spark, tmp_path):
     import os
 
