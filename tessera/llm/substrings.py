@@ -47,6 +47,8 @@ ANCHOR, KEY = 8, 5
 CHARS_PER_SHARD, LEAST_SHARDS = 48_000_000, 8
 #: Passages gathered before an automaton is compiled, and phrases that one automaton holds at most.
 PASSAGES, PHRASES = 6_000, 40_000
+#: Occurrences whose words are marked together, but for those of one text.
+HITS = 100_000
 #: Distinct passages beyond which a key is divided, estimated from one text in SAMPLE and all of over LONG words.
 CROWDED, SAMPLE, LONG = 1_000, 8, 4_000
 #: Slots in which crowded keys are remembered, a bit each: what reaches the driver and every task is 1 MB at most.
@@ -308,17 +310,40 @@ def _cut(texts: list[str], ids: list[int], phrases: list[list[dict] | None]) ->
     number: dict[str, int] = {}  # from 1; 0 is any word that no phrase has
     known: dict[str, bytes] = {p["passage"]: p["least"] for own in phrases for p in own or ()}
     every = [tuple(number.setdefault(w, len(number) + 1) for w in p.split(" ")) for p in known]
-    least = [np.frombuffer(x, "<i8") for x in known.values()]
+    least = np.frombuffer(b"".join(known.values()), "<i8")
+    windows = np.fromiter((len(x) // 8 for x in known.values()), np.int64, len(known))
+    first = np.cumsum(windows) - windows
+    length = np.fromiter(map(len, every), np.int64, len(every))
     words = [tuple(number.get(w, 0) for w in t.split(" ")) if t else () for t in texts]
-    steps = [np.zeros(len(w) + 1, dtype=np.int32) for w in words]
+    # the texts' words one after the other; a window's end lies at most on the place behind its text's last word
+    begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+    steps = np.zeros(begin[-1] + 1, dtype=np.int64)
+    own_id = np.array(ids, dtype=np.int64)
+
+    def mark(hits: list[tuple[int, int]], text: np.ndarray) -> None:
+        end, n = np.array(hits, dtype=np.int64).T
+        size = windows[n]
+        hit = np.repeat(np.arange(len(n)), size)
+        nth = np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size)
+        goes = least[first[n][hit] + nth] < own_id[text][hit]
+        at = (begin[text] + end - length[n] + 1)[hit[goes]] + nth[goes]
+        np.add.at(steps, at, 1)
+        np.subtract.at(steps, at + WINDOW, 1)
+
     for _, automaton in _automata(every):
+        hits: list[tuple[int, int]] = []
+        counts: list[tuple[int, int]] = []
         for s, own in enumerate(words):
-            for end, n in automaton.iter(own) if own else ():
-                begin = end - len(every[n]) + 1
-                goes = begin + np.flatnonzero(least[n] < ids[s])
-                steps[s][goes] += 1
-                steps[s][goes + WINDOW] -= 1
-    return [np.cumsum(x[:-1]) > 0 for x in steps]
+            before = len(hits)
+            hits.extend(automaton.iter(own) if own else ())
+            counts.append((s, len(hits) - before))
+            if len(hits) > HITS:
+                mark(hits, np.repeat(*np.array(counts).T))
+                hits, counts = [], []
+        if hits:
+            mark(hits, np.repeat(*np.array(counts).T))
+    covered = np.cumsum(steps) > 0
+    return [covered[a : a + len(w)] for a, w in zip(begin.tolist(), words, strict=False)]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
