@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, language, periodic, quality, secrets, simhash, spelling, substrings, token_counts, topk, toxicity, urls
+from tessera.llm import bpe, decontaminate, language, periodic, quality, scan_sql, secrets, simhash, spelling, substrings, token_counts, topk, toxicity, urls
 from tessera.llm.tables import read, scratch, settle
 
 
@@ -210,4 +210,6 @@ def oracle_sql() -> dict[str, str]:
         "token_counts_words": TOKEN_COUNTS_WORDS_SQL.replace("\\\\", "\\"),
         "op9_url_filter": OP9_SQL.replace("\\\\", "\\"),
         "op11_exact_topk": OP11_SQL,
+        "op12_periodic_runs": scan_sql.OP12_SQL,
+        "op13_spelling_variants": scan_sql.OP13_SQL,
     }
