@@ -135,16 +135,19 @@ def scrub(text: Column) -> Column:
     return F.struct(F.coalesce(done["scrubbed"], text).alias("scrubbed"), done["detected"].alias("detected"))
 
 
-def pack_lines(content: Column, most: int = MOST_CHUNK) -> Column:
-    """Chunks of at most ``most`` characters: one if the text fits, else lines packed in order; a line that is longer
-    by itself is cut there."""
+def pack_lines(content: Column, most: int = MOST_CHUNK, keep_tail: bool = False) -> Column:
+    """Chunks of at most ``most`` characters: one if the text fits, else lines packed in order; of a line that is
+    longer by itself the first ``most`` are a chunk, and with ``keep_tail`` the rest are chunks too, so that nothing
+    of the text is lost but line breaks between chunks."""
+    parts = lambda line: F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / most).cast("int")), lambda i: F.substring(line, i * most + 1, F.lit(most)))
+    cut = parts if keep_tail else lambda line: F.array(F.substring(line, 1, most))
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, line: Column) -> Column:
         fits = F.length(acc["open"]) + F.length(line) + 1 <= most
         flushed = F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
         too_long = F.length(line) > most
-        done = F.when(fits, acc["done"]).when(too_long, F.concat(flushed, F.array(F.substring(line, 1, most)))).otherwise(flushed)
+        done = F.when(fits, acc["done"]).when(too_long, F.concat(flushed, cut(line))).otherwise(flushed)
         rest = F.when(fits, F.concat(acc["open"], F.when(acc["open"] != "", "\n").otherwise(""), line)).when(too_long, "").otherwise(line)
         return F.struct(done.alias("done"), rest.alias("open"))
 
@@ -152,10 +155,10 @@ def pack_lines(content: Column, most: int = MOST_CHUNK) -> Column:
     return F.when(content == "", F.array().cast("array<string>")).when(F.length(content) <= most, F.array(content)).otherwise(packed)
 
 
-def chunks(with_bodies: DataFrame) -> DataFrame:
-    """Chunks to embed: each node but imports and exports, with the lines it spans."""
+def chunks(with_bodies: DataFrame, keep_tail: bool = False) -> DataFrame:
+    """Chunks to embed: each node but imports and exports, with the lines it spans; ``keep_tail`` as in :func:`pack_lines`."""
     own = with_bodies.where(~F.col("kind").isin("import", "export"))
-    parts = own.select("*", pack_lines(F.col("body")).alias("parts")).select("*", F.posexplode("parts").alias("part", "content_part"))
+    parts = own.select("*", pack_lines(F.col("body"), keep_tail=keep_tail).alias("parts")).select("*", F.posexplode("parts").alias("part", "content_part"))
     part = F.when(F.size("parts") > 1, F.col("part"))
     return parts.select(chunk_id(F.col("id"), part).alias("id"), F.col("id").alias("node_id"), "file_path", "repository_id", F.col("content_part").alias("content"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"), "language", F.concat_ws(":", "file_path", "qualified_name").alias("symbol_context"))
 

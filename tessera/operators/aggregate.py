@@ -112,3 +112,29 @@ def limited(requests: DataFrame, key: str = "ip", seconds: int = 60, most: int =
     timed = requests.where("ts IS NOT NULL").select(F.col(key).alias("key"), F.unix_micros("ts").alias("us"))
     judged = timed.repartition("key").sortWithinPartitions("key", "us").mapInArrow(judge, f"key {kind}, us long, allowed boolean")
     return judged.select(F.col("key").alias(key), F.timestamp_micros("us").alias("ts"), "allowed")
+
+
+def waiting_tokens(tasks: DataFrame, text_col: str = "content", most_tries: int = 3) -> DataFrame:
+    """One row for tasks (status, tries, content): an estimate of the tokens that are still to be sent, a quarter of
+    the characters of each text, rounded up."""
+    waits = (F.col("status") == "pending") | ((F.col("status") == "failed") & (F.col("tries") < most_tries))
+    return tasks.where(waits).agg(F.count(F.lit(1)).alias("waiting"), F.coalesce(F.sum(F.ceil(F.length(text_col) / 4)), F.lit(0)).alias("tokens"))
+
+
+def stats(nodes: DataFrame, edges: DataFrame, files: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(figure, n): rows of each table, files of each status, nodes of each language, watched repositories."""
+    counts = table_counts({"nodes": nodes, "edges": edges, "files": files, "repositories": repositories}).select(F.col("table").alias("figure"), "n")
+    by = lambda df, column, name: df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit(f"{name}:"), column).alias("figure"), "n")
+    watched = repositories.agg(F.count_if("is_watched").alias("n")).select(F.lit("watched").alias("figure"), "n")
+    return reduce(DataFrame.unionByName, [counts, by(files, "status", "files"), by(nodes, "language", "language"), watched])
+
+
+def payload_deltas(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(scenario, bytes, tokens, bytes_delta, tokens_delta, bytes_percent) of payloads (scenario, payload): what the
+    candidate sends, and how that differs from the baseline; null where one of them lacks the scenario."""
+    size = F.octet_length("payload")
+    sums = [df.groupBy("scenario").agg(F.sum(size).alias(f"{p}bytes"), F.sum(F.ceil(size / 4)).alias(f"{p}tokens")) for df, p in ((candidate, ""), (baseline, "b_"))]
+    both = sums[0].join(sums[1], "scenario", "full_outer")
+    delta = lambda c: (F.col(c) - F.col(f"b_{c}")).alias(f"{c}_delta")
+    percent = F.round(F.try_divide(100.0 * (F.col("bytes") - F.col("b_bytes")), F.col("b_bytes")), 3).alias("bytes_percent")
+    return both.select("scenario", "bytes", "tokens", delta("bytes"), delta("tokens"), percent)

@@ -11,20 +11,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.fold import folded
 from tessera.functions.stem import forms, stems
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF = 60
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; everything else splits, camel case does not."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def _lowered(text: Column, fold: bool) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return folded(low) if fold else low
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def tokens(text: Column, fold: bool = False) -> Column:
+    """Lower-cased runs of letters and digits, with ``fold`` without diacritics; everything else splits, camel case
+    does not."""
+    return F.regexp_extract_all(_lowered(text, fold), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
     """The inverted index: (token, id, tf, positions), one row for each token of each document."""
-    placed = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("position", "token"))
+    placed = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col), fold)).alias("position", "token"))
     return placed.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
@@ -42,28 +49,59 @@ def _matches(spaced: Column, stemmed: list[str], stem: bool) -> Column:
     return F.size(F.filter(found, lambda m: stems(F.split(m, " ")) == F.array(*[F.lit(w) for w in stemmed])))
 
 
-def exact_search(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, limit: int = 20, offset: int = 0, stem: bool = True, fields: list[str] | None = None) -> DataFrame:
+def exact_search(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, limit: int = 20, offset: int = 0, stem: bool = True, fields: list[str] | None = None, fold: bool = True) -> DataFrame:
     """(id, rank, score): documents with the whole query as one phrase, the best first.
 
-    Words agree if their stems do, or, without ``stem``, if they are equal. ``fields`` are the columns of ``text_cols``
+    Words agree if their stems do, or, without ``stem``, if they are equal; diacritics make no difference unless
+    ``fold`` is off. ``fields`` are the columns of ``text_cols``
     to search, all by default; lengths are always those of all. One pass gives the corpus figures and one the matches;
     the phrase is counted within a row, so no postings are shuffled. ``score`` is 1 / (1 + rank) as callers know it; it
     falls as relevance grows, rows come best first.
     """
-    said = tokens(F.lit(phrase))
-    wanted = docs.sparkSession.range(1).select((stems(said) if stem else said).alias("t")).first()["t"]
     kind = docs.schema[id_col].dataType.simpleString()
-    if not wanted:
+    limit, offset = clamped(limit, offset)
+    found, n, total, average = _phrase_matches(docs, id_col, text_cols, phrase, stem, fields, fold)
+    if not n:
         return docs.sparkSession.createDataFrame([], f"id {kind}, rank double, score double")
-    limit, offset = (20 if limit < 1 else min(limit, 100)), max(0, offset)
-    spaced = {c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" ")) for c in text_cols}
+    return best(found, n, total, average, limit, offset)
+
+
+def clamped(limit: int, offset: int) -> tuple[int, int]:
+    """A search's limit of 1 to 100, 20 where it is less, and an offset of 0 at least."""
+    return (20 if limit < 1 else min(limit, 100)), max(0, offset)
+
+
+def _phrase_matches(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, stem: bool, fields: list[str] | None, fold: bool) -> tuple[DataFrame | None, int, int, float]:
+    """(id, length, tf) of the documents that have the phrase, their number, that of all, and the mean length."""
+    said = tokens(F.lit(phrase), fold)
+    wanted = docs.sparkSession.range(1).select((stems(said) if stem else said).alias("t")).first()["t"]
+    if not wanted:
+        return None, 0, 0, 0.0
+    spaced = {c: F.concat(F.lit(" "), F.regexp_replace(_lowered(F.col(c), fold), r"[^\p{L}\p{N}]+", " "), F.lit(" ")) for c in text_cols}
     tf = [_matches(spaced[c], wanted, stem) for c in (text_cols if fields is None else fields)]
     length = [F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")) for t in spaced.values()]
     found = docs.select(F.col(id_col).alias("id"), sum(length[1:], length[0]).alias("length"), sum(tf[1:], tf[0]).alias("tf"))
     total, average, n = found.agg(F.count(F.lit(1)), F.avg("length"), F.sum((F.col("tf") > 0).cast("long"))).first()
-    if not n:
-        return docs.sparkSession.createDataFrame([], f"id {kind}, rank double, score double")
-    return best(found.where("tf > 0"), n, total, average, limit, offset)
+    return found.where("tf > 0"), n or 0, total, average
+
+
+def envelope(docs: DataFrame, id_col: str, text_cols: list[str], phrase: str, limit: int = 20, offset: int = 0, stem: bool = True, fields: list[str] | None = None, fold: bool = True) -> DataFrame:
+    """One row for a page of :func:`exact_search`: total, limit, offset, has_more.
+
+    As callers know it, one row more than the page is looked for, and ``total`` is what has been seen by then, plus
+    one if there is more: exact on the last page, a lower bound before.
+    """
+    limit, offset = clamped(limit, offset)
+    n = _phrase_matches(docs, id_col, text_cols, phrase, stem, fields, fold)[1]
+    seen = min(max(0, n - offset), limit + 1)
+    more = seen > limit
+    return docs.sparkSession.createDataFrame([(offset + seen + more, limit, offset, more)], "total long, limit int, offset int, has_more boolean")
+
+
+def found_nodes(found: DataFrame, nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Search results (id, rank) with columns of their nodes; what has no node any more is left out. A page of results
+    is at most a few hundred rows, so it goes to the nodes, not they to it."""
+    return nodes.join(F.broadcast(found.select("id", "rank")), "id").select("id", "rank", *columns)
 
 
 def best(found: DataFrame, n: int, total: int, average: float, limit: int, offset: int) -> DataFrame:

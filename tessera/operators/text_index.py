@@ -5,7 +5,7 @@ three are published by one commit: a batch that dies half-way leaves searches on
 is tried again after its commit changes nothing. The newest version of a document counts; a deleted one has a version
 without a length. Postings are cut into buckets by word, and by a salt of the document so that a word of every
 document is many tasks' work; within a file they are sorted by word, so a search reads a few row groups of a few
-buckets. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
+buckets. Words are kept without diacritics. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
 :func:`compact` makes one batch of all.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stems
-from tessera.operators.search import best, tokens
+from tessera.operators.search import best, clamped, tokens
 from tessera.snapshots import SnapshotLog, Writer
 
 #: Folders of postings by word, and the least number of tasks that write one of them.
@@ -54,7 +54,7 @@ def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, bat
     if log.committed(_STREAM, batch, manifest):
         return
     writer = Writer(log, manifest)
-    held = [tokens(F.col(c)) for c in text_cols]
+    held = [tokens(F.col(c), fold=True) for c in text_cols]
     length = sum([F.size(t) for t in held[1:]], F.size(held[0]))
     number = F.lit(batch).alias("batch")
     versions = docs.select(F.col(id_col).alias("id"), length.alias("length"))
@@ -113,13 +113,13 @@ def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20,
     log = SnapshotLog(spark, path)
     manifest = log.manifest()  # one snapshot for the whole search
     live = current(spark, path, manifest)
-    said = tokens(F.lit(phrase))
+    said = tokens(F.lit(phrase), fold=True)
     wanted = spark.range(1).select((stems(said) if stem else said).alias("t")).first()["t"]
     kind = live.schema["id"].dataType.simpleString()
     nothing = spark.createDataFrame([], f"id {kind}, rank double, score double")
     if not wanted:
         return nothing
-    limit, offset = (20 if limit < 1 else min(limit, 100)), max(0, offset)
+    limit, offset = clamped(limit, offset)
     slots = spark.createDataFrame(list(enumerate(wanted)), "slot int, wanted string")
     if stem:
         # a stem has as many words as suffixes can be put to it: a few dozen

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import stem
+from tessera.functions import stem, text
 from tessera.operators import search, text_index, vector_index
+from tessera.plans.bindings import GRAPH_SQL, nodes
 from tessera.storage import read, scratch
 
 PHRASE, TERMS, TOP = "of the", ["worthless", "the", "que"], 20
 STEMMED, WORD = "on the", "hehe"
+#: A word that is written with and without diacritics.
+FOLDED = "éré"
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -65,6 +68,33 @@ def maintained_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
+def search_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page, one in between and one behind the end."""
+    docs = read(spark, sf_dir, "documents")
+    pages = [search.envelope(docs, "doc_id", ["text", "source"], PHRASE, TOP, offset, stem=False) for offset in (0, TOP, 1_000_000)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+def folded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.exact_search(read(spark, sf_dir, "documents"), "doc_id", ["text"], FOLDED, TOP, stem=False)
+    return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+def searched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best nodes for words of their path, with their attributes."""
+    own = nodes(spark, sf_dir)
+    found = search.exact_search(own, "id", ["name", "file_path"], "bui ts", TOP, stem=False)
+    return search.found_nodes(found, own, ("name", "kind", "file_path")).withColumn("rank", F.round("rank", 6))
+
+
+def result_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with some around them, of ranges short, long and beyond the end; every ninth text is missing."""
+    docs = read(spark, sf_dir, "documents")
+    results = docs.selectExpr("doc_id", "'d' || doc_id AS file_path", "CAST(1 + doc_id % 7 AS INT) AS line_start", "CAST(1 + doc_id % 7 + doc_id % 12 AS INT) AS line_end")
+    files = docs.where("doc_id % 9 > 0").selectExpr("'d' || doc_id AS path", "text AS content")
+    return text.with_snippets(results, files).select("doc_id", "snippet")
+
+
 def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of all vectors for every hundredth one."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -127,6 +157,12 @@ df AS (SELECT t, count(*) AS n FROM hits GROUP BY t), ranked AS (SELECT doc_id,
 SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {TOP}"""),
     "posting_counts": (posting_counts, f"SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n, CAST(max(position) AS INT) AS last_position FROM (SELECT doc_id, unnest(a) AS token, unnest(range(len(a))) AS position FROM (SELECT doc_id, {_TOKENS.format(c='text')} AS a FROM documents)) GROUP BY token"),
     "semantic_search": (semantic_search, f"WITH {_NEAR} SELECT vec_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score FROM near ORDER BY near.distance, vec_id LIMIT {TOP} OFFSET 5"),
+    "search_envelopes": (search_envelopes, f"WITH {_EXACT}, hits AS (SELECT count(*) AS n FROM ranked), seen AS (SELECT o, least(greatest(n - o, 0), {TOP} + 1) AS s FROM hits, (SELECT unnest([0, {TOP}, 1000000]) AS o)) SELECT CAST(o + s + CASE WHEN s > {TOP} THEN 1 ELSE 0 END AS BIGINT) AS total, {TOP} AS \"limit\", CAST(o AS INTEGER) AS \"offset\", s > {TOP} AS has_more FROM seen"),
+    "folded_search": (folded_search, f"""WITH tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS a FROM documents), counted AS (SELECT doc_id, len(a) AS length, len(list_filter(a, lambda w: w = strip_accents('{FOLDED}'))) AS tf FROM tok),
+figures AS (SELECT count(*) AS total, avg(length) AS average, count(*) FILTER (WHERE tf > 0) AS n FROM counted), ranked AS (SELECT doc_id, {_BM25} AS rank FROM counted, figures WHERE tf > 0) SELECT doc_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {TOP}"""),
+    "searched_nodes": (searched_nodes, f"""WITH {GRAPH_SQL}, tok AS (SELECT id, name, kind, file_path, {_TOKENS.format(c='name')} AS a, {_TOKENS.format(c='file_path')} AS b FROM nodes), counted AS (SELECT id, len(a) + len(b) AS length, len(list_filter(range(1, len(b)), lambda i: b[i] = 'bui' AND b[i + 1] = 'ts')) AS tf FROM tok),
+figures AS (SELECT count(*) AS total, avg(length) AS average, count(*) FILTER (WHERE tf > 0) AS n FROM counted), ranked AS (SELECT id, {_BM25} AS rank FROM counted, figures WHERE tf > 0), top AS (SELECT * FROM ranked ORDER BY rank DESC, id LIMIT {TOP}) SELECT n.id, round(top.rank, 6) AS rank, n.name, n.kind, n.file_path FROM top JOIN nodes n ON n.id = top.id"""),
+    "result_snippets": (result_snippets, """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN string_split(text, chr(10)) END AS rows, 1 + doc_id % 7 AS f, 1 + doc_id % 7 + doc_id % 12 AS l FROM documents), w AS (SELECT doc_id, rows[greatest(f - 2, 1):l + 2] AS own FROM r), s AS (SELECT doc_id, array_to_string(CASE WHEN len(own) > 10 THEN list_concat(list_concat(own[1:5], ['...']), own[len(own) - 4:len(own)]) ELSE own END, chr(10)) AS t FROM w) SELECT doc_id, CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END AS snippet FROM s"""),
     "exact_neighbours": (exact_neighbours, f"WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS d FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM pairs) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM ranked WHERE rank <= {TOP}"),
     "indexed_neighbours": (indexed_neighbours, None),
     "hybrid_search": (hybrid_search, f"WITH {_EXACT}, {_NEAR}, legs AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY rank DESC, doc_id)) AS s FROM (SELECT * FROM ranked ORDER BY rank DESC, doc_id LIMIT {2 * TOP}) UNION ALL SELECT vec_id, 1 / (60 + row_number() OVER (ORDER BY distance, vec_id)) FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {2 * TOP})), fused AS (SELECT doc_id, sum(s) AS score FROM legs GROUP BY doc_id) SELECT doc_id, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, doc_id LIMIT {TOP}"),

@@ -86,6 +86,23 @@ def limited_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.limited(read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", 12 * 3600, 2)
 
 
+def queue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as texts to embed: those of even turns failed, of every fourth conversation too often."""
+    tasks = read(spark, sf_dir, "conversations").selectExpr("CASE turn % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' ELSE 'done' END AS status", "conv_id % 4 AS tries", "text AS content")
+    return aggregate.waiting_tokens(tasks)
+
+
+def all_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = nodes(spark, sf_dir).selectExpr("file_path AS path", "repository_id", "CASE WHEN repository_id = 'repo1' THEN 'pending' ELSE 'indexed' END AS status").distinct()
+    repositories = read(spark, sf_dir, "region").selectExpr("'repo' || r_regionkey AS id", "r_regionkey % 2 = 0 AS is_watched")
+    return aggregate.stats(nodes(spark, sf_dir), edges(spark, sf_dir), files, repositories)
+
+
+def payload_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "documents").selectExpr("lang AS scenario", "text AS payload", "doc_id % 2 = 0 AS new", "source")
+    return aggregate.payload_deltas(own.where("new"), own.where("NOT new"))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w"))
     return own.agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")).select("user_id", F.col("w.start").alias("session_start"), "n", "last_event")
@@ -158,6 +175,9 @@ QUERIES = {
     "over_limit": (over_limit, f"SELECT ip, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n FROM ({_REQUESTS}) GROUP BY 1, 2 HAVING count(*) > 4"),
     "debounced_changes": (debounced_changes, "SELECT path, ts, change FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, seq) AS next_ts FROM (SELECT user_id AS path, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 'unlink' ELSE 'change' END AS change FROM events)) WHERE change = 'unlink' OR next_ts IS NULL OR next_ts - ts >= INTERVAL 2 HOURS"),
     "limited_requests": (limited_requests, "WITH RECURSIVE starts(user_id, began) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id UNION ALL SELECT s.user_id, min(e.ts) FROM starts s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.began + INTERVAL 12 HOURS GROUP BY s.user_id), placed AS (SELECT e.user_id, e.ts, max(s.began) AS began FROM events e JOIN starts s ON s.user_id = e.user_id AND s.began <= e.ts GROUP BY e.user_id, e.ts, e.event_id) SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, began ORDER BY ts) <= 2 AS allowed FROM placed"),
+    "queue_tokens": (queue_tokens, "SELECT count(*) AS waiting, CAST(coalesce(sum(ceil(length(text) / 4)), 0) AS BIGINT) AS tokens FROM conversations WHERE turn % 3 = 0 OR (turn % 3 = 1 AND conv_id % 4 < 3)"),
+    "all_stats": (all_stats, f"WITH {GRAPH_SQL}, files AS (SELECT DISTINCT file_path, repository_id FROM nodes) SELECT 'nodes' AS figure, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'repositories', count(*) FROM region UNION ALL SELECT 'files:' || CASE WHEN repository_id = 'repo1' THEN 'pending' ELSE 'indexed' END, count(*) FROM files GROUP BY 1 UNION ALL SELECT 'language:' || language, count(*) FROM nodes GROUP BY 1 UNION ALL SELECT 'watched', count(*) FROM region WHERE r_regionkey % 2 = 0"),
+    "payload_deltas": (payload_deltas, "WITH s AS (SELECT lang AS scenario, doc_id % 2 = 0 AS new, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(ceil(strlen(text) / 4)) AS BIGINT) AS tokens FROM documents GROUP BY 1, 2) SELECT c.scenario, c.bytes, c.tokens, c.bytes - b.bytes AS bytes_delta, c.tokens - b.tokens AS tokens_delta, round(100.0 * (c.bytes - b.bytes) / b.bytes, 3) AS bytes_percent FROM (SELECT * FROM s WHERE new) c JOIN (SELECT * FROM s WHERE NOT new) b ON b.scenario = c.scenario"),
     "sessions": (sessions, "SELECT user_id, min(ts) AS session_start, count(*) AS n, max(event_id) AS last_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
     "payload_sizes": (payload_sizes, "SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(ceil(strlen(text) / 4)) AS BIGINT) AS tokens FROM conversations"),
     "new_names": (new_names, "WITH own AS (SELECT o_orderpriority AS scenario, 'c' || o_custkey AS name, o_orderstatus FROM orders) SELECT DISTINCT scenario, name FROM own WHERE o_orderstatus = 'F' AND (scenario, name) NOT IN (SELECT (scenario, name) FROM own WHERE o_orderstatus <> 'F')"),

@@ -45,6 +45,11 @@ def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "part", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
 
 
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.pack_lines(F.col("text"), keep_tail=True)).alias("part", "content"))
+    return parts.select("doc_id", "part", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
 def called_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "pages").select("page_id", F.explode(files.called_names(F.col("html"))).alias("callee"))
     return own.groupBy("callee").agg(F.count(F.lit(1)).alias("n"))
@@ -133,6 +138,7 @@ QUERIES = {
     "has_secrets": (has_secrets, f"SELECT doc_id FROM (SELECT doc_id, text || {_HELD.replace('STRING', 'VARCHAR')} AS text FROM documents) WHERE {_ALWAYS}"),
     "scrubbed_documents": (scrubbed_documents, _SCRUBBED),
     "chunked_documents": (chunked_documents, _CHUNKED),
+    "whole_chunks": (whole_chunks, _CHUNKED.replace(f"[l[k + 1][1:{text.MOST_CHUNK}]]", f"list_transform(range(0, length(l[k + 1]), {text.MOST_CHUNK}), lambda i: l[k + 1][i + 1:i + {text.MOST_CHUNK}])")),
     "called_names": (called_names, r"""WITH found AS (SELECT page_id, list_filter(regexp_extract_all(html, '\b([a-zA-Z_$][\w$]*)\s*\(', 1), lambda x: NOT list_contains([KEYWORDS], x)) AS a, regexp_extract_all(html, '\.([a-zA-Z_$][\w$]*)\s*\(', 1) AS b FROM pages) SELECT callee, count(*) AS n FROM (SELECT unnest(list_distinct(list_concat(a, b))) AS callee FROM found) GROUP BY callee""".replace("KEYWORDS", ", ".join(f"'{w}'" for w in files.CALL_KEYWORDS))),
     "line_ranges": (line_ranges, "SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[2:4], chr(10))) AS lines_sha256 FROM documents"),
     "snippets": (snippets, "WITH r AS (SELECT doc_id, string_split(text, chr(10))[1:14] AS l FROM documents), s AS (SELECT doc_id, CASE WHEN len(l) > 10 THEN array_to_string(list_concat(l[1:5], ['...'], l[len(l) - 4:len(l)]), chr(10)) ELSE array_to_string(l, chr(10)) END AS t FROM r) SELECT doc_id, sha256(CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END) AS snippet_sha256 FROM s"),

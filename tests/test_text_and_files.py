@@ -59,6 +59,8 @@ def test_chunks_are_packed_like_lines_in_order(spark):
                     held += ("\n" if held else "") + line
             expected += [held] if held else []
         assert got == expected and all(len(c) <= 2000 for c in got)
+        whole = one(spark, text.pack_lines(F.lit(content), keep_tail=True))
+        assert "".join(whole).replace("\n", "") == content.replace("\n", "") and all(0 < len(c) <= 2000 for c in whole)
 
 
 @pytest.mark.parametrize(
