@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import stem, text
-from tessera.operators import search, text_index, vector_index
+from tessera.operators import hybrid, search, text_index, vector_index
 from tessera.plans.bindings import GRAPH_SQL, nodes
 from tessera.storage import read, scratch
 
@@ -110,6 +110,15 @@ def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+def stored_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hybrid_search`` over stored indexes; the query looks at every cell, so nothing is missed."""
+    words, vectors = scratch(spark, "index"), scratch(spark, "vectors")
+    text_index.add_batch(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], words, 0)
+    vector_index.build(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", vectors)
+    found = hybrid.stored_search(spark, words, PHRASE, vectors, _query_vector(spark, sf_dir), TOP, stem=False, probes=vector_index.CELLS)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
 _IDF = "greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6)"
 _BM25 = f"{_IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))"
 _TOKENS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -166,4 +175,5 @@ figures AS (SELECT count(*) AS total, avg(length) AS average, count(*) FILTER (W
     "exact_neighbours": (exact_neighbours, f"WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS d FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM pairs) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM ranked WHERE rank <= {TOP}"),
     "indexed_neighbours": (indexed_neighbours, None),
     "hybrid_search": (hybrid_search, f"WITH {_EXACT}, {_NEAR}, legs AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY rank DESC, doc_id)) AS s FROM (SELECT * FROM ranked ORDER BY rank DESC, doc_id LIMIT {2 * TOP}) UNION ALL SELECT vec_id, 1 / (60 + row_number() OVER (ORDER BY distance, vec_id)) FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {2 * TOP})), fused AS (SELECT doc_id, sum(s) AS score FROM legs GROUP BY doc_id) SELECT doc_id, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, doc_id LIMIT {TOP}"),
+    "stored_hybrid_search": (stored_hybrid_search, f"WITH {_EXACT}, {_NEAR}, legs AS (SELECT doc_id, 1 / (60 + row_number() OVER (ORDER BY rank DESC, doc_id)) AS s FROM (SELECT * FROM ranked ORDER BY rank DESC, doc_id LIMIT {2 * TOP}) UNION ALL SELECT vec_id, 1 / (60 + row_number() OVER (ORDER BY distance, vec_id)) FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {2 * TOP})), fused AS (SELECT doc_id, sum(s) AS score FROM legs GROUP BY doc_id) SELECT doc_id, round(score, 9) AS score FROM fused ORDER BY fused.score DESC, doc_id LIMIT {TOP}"),
 }
