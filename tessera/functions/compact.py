@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,13 @@ def compact_page(page: DataFrame, total: int, has_more: bool, order: str = "seq"
     body = rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]), ","), F.lit("]")).alias("r"))
     head = F.to_json(F.struct(*[F.lit(shared[SHORT_KEYS[k]]).alias(SHORT_KEYS[k]) for k in gone], F.lit(total).alias("t"), F.lit(has_more).alias("m")))
     return body.select(F.concat(F.lit('{"r":'), F.col("r"), F.lit(","), F.substring(head, 2, 1 << 30)).alias("payload"))
+
+
+def full_page(page: DataFrame, total: int, limit: int, offset: int, order: str = "seq") -> str:
+    """The full response: every field under its long name, indented by two blanks. A page has a hundred rows at most."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    ordered = page.orderBy(order).drop(order) if order in page.columns else page
+    results = [{camel(c): v for c, v in r.asDict(recursive=True).items()} for r in ordered.limit(limit).collect()]
+    envelope = {"results": results, "total": total, "limit": limit, "offset": offset, "hasMore": offset + len(results) < total}
+    return json.dumps(envelope, indent=2, ensure_ascii=False, default=str)

@@ -65,6 +65,16 @@ def page_info(df: DataFrame, limit: int, offset: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).select("total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (F.col("total") > limit + offset).alias("has_more"))
 
 
+def by_key(table: DataFrame, **key: object) -> DataFrame:
+    """Rows with exactly these values: a repository by id or path, a file by path and repository, a node or edge by id."""
+    if not key:
+        raise ValueError("a key needs a column")
+    out = table
+    for column, value in key.items():
+        out = out.where(F.col(column).eqNullSafe(F.lit(value)))
+    return out
+
+
 def find_symbol(nodes: DataFrame, pattern: str, kind: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
     found = nodes.where(NodeFilter(kind=kind, name_pattern=pattern).column())
     return page(found, [F.col("seq")], limit, offset).select(*SYMBOL_COLUMNS)

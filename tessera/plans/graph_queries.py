@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregate, graph, linking, lookup, resolve
+from tessera.operators import aggregate, graph, layout, linking, lookup, resolve
 from tessera.plans.bindings import EVENT_EDGES_SQL, GRAPH_SQL, edges, event_edges, nodes
 from tessera.storage import read, scratch, settle
 
@@ -119,6 +119,11 @@ def relinked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.current(spark, path)[1].select("id", "source_id", "target_id", "confidence")
 
 
+def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places after a few rounds; their sums are exact, so they are the same on each run."""
+    return layout.places(nodes(spark, sf_dir), edges(spark, sf_dir), rounds=3)
+
+
 def inheritance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = read(spark, sf_dir, "nation").selectExpr("'nation:' || n_nationkey AS child_id", "CASE WHEN n_regionkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS parent_name", "CASE WHEN n_nationkey % 2 = 0 THEN 'extends' ELSE 'implements' END AS kind", "'repo0' AS repository_id")
     return resolve.inheritance_edges(parents, nodes(spark, sf_dir)).select("id", "source_id", "target_id", "kind")
@@ -213,6 +218,7 @@ QUERIES = {
     "node_details": (node_details, f"{_HEAD}, near AS (SELECT 'callers' AS side, n.id, n.seq FROM nodes n WHERE id IN (SELECT source_id FROM edges WHERE target_id = 'nation:3') UNION ALL SELECT 'callees', n.id, n.seq FROM nodes n WHERE id IN (SELECT target_id FROM edges WHERE source_id = 'nation:3')), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY seq) AS place FROM near) SELECT id, name, (SELECT string_agg(id, ',' ORDER BY seq) FROM placed WHERE side = 'callers' AND place <= 5) AS callers, (SELECT string_agg(id, ',' ORDER BY seq) FROM placed WHERE side = 'callees' AND place <= 5) AS callees, (SELECT count(*) FROM near WHERE side = 'callers') AS callers_total, (SELECT count(*) FROM near WHERE side = 'callees') AS callees_total FROM nodes WHERE id = 'nation:3' AND repository_id = 'repo0'"),
     "call_edges": (call_edges, f"{_HEAD}, calls AS (SELECT DISTINCT 'orders:' || o_orderkey AS source_id, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS callee, 'repo' || (o_custkey % 3) AS repository_id FROM orders) SELECT substr(sha256(source_id || ':' || n.id || ':calls'), 1, 16) AS id, source_id, n.id AS target_id, CAST(0.9 AS DOUBLE) AS confidence FROM calls c JOIN nodes n ON n.name = c.callee AND n.repository_id = c.repository_id"),
     "relinked_edges": (relinked_edges, f"{_HEAD}, calls AS (SELECT DISTINCT 'orders:' || o_orderkey AS source_id, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS callee, 'repo' || (o_custkey % 3) AS repository_id FROM orders) SELECT substr(sha256(source_id || ':' || n.id || ':calls'), 1, 16) AS id, source_id, n.id AS target_id, CAST(0.9 AS DOUBLE) AS confidence FROM calls c JOIN nodes n ON n.name = c.callee AND n.repository_id = c.repository_id"),
+    "graph_layout": (graph_layout, None),
     "inheritance_edges": (inheritance_edges, f"{_HEAD}, p AS (SELECT 'nation:' || n_nationkey AS source_id, CASE WHEN n_regionkey % 2 = 0 THEN 'ASIA' ELSE 'EUROPE' END AS parent, CASE WHEN n_nationkey % 2 = 0 THEN 'extends' ELSE 'implements' END AS kind FROM nation) SELECT substr(sha256(source_id || ':' || n.id || ':' || p.kind), 1, 16) AS id, source_id, n.id AS target_id, p.kind FROM p JOIN nodes n ON n.name = p.parent AND n.repository_id = 'repo0'"),
     "import_edges": (import_edges, f"{_HEAD}, firsts AS (SELECT file_path, repository_id, arg_min(id, seq) AS source_id FROM nodes WHERE kind = 'function' GROUP BY 1, 2) SELECT DISTINCT f.source_id, n.id AS target_id FROM nodes n JOIN firsts f ON f.repository_id = n.repository_id AND f.file_path = regexp_replace(n.file_path, '[^/]*$', 'bui.ts') WHERE n.kind = 'function' AND n.file_path <> f.file_path"),
     "view_totals": (view_totals, f"{_HEAD} SELECT count(*) AS total, least(count(*), 100) AS shown, count(*) > 100 AS truncated FROM nodes WHERE kind = 'function'"),

@@ -163,6 +163,24 @@ def test_compact_payload(spark):
     assert "lang" in json.loads(compact.compact_page(mixed, 2, False).first()["payload"])["r"][0]
 
 
+def test_full_payload_and_rows_by_key(spark):
+    rows = spark.createDataFrame([("2", "b", None, 2), ("1", "a", "go", 1)], "id string, qualified_name string, language string, seq int")
+    full = compact.full_page(rows, 5, 2, 0)
+    assert json.loads(full) == {"results": [{"id": "1", "qualifiedName": "a", "language": "go"}, {"id": "2", "qualifiedName": "b", "language": None}], "total": 5, "limit": 2, "offset": 0, "hasMore": True}
+    assert full.startswith('{\n  "results": [\n    {\n      "id": "1",')
+    assert [r["id"] for r in lookup.by_key(rows, id="2").collect()] == ["2"] and [r["id"] for r in lookup.by_key(rows, language=None, seq=2).collect()] == ["2"]
+    for broken in (lambda: compact.full_page(rows, 1, 0, 0), lambda: lookup.by_key(rows)):
+        with pytest.raises(ValueError):
+            broken()
+
+
+def test_accents_make_no_difference(spark):
+    docs = spark.createDataFrame([(1, "un café noir"), (2, "UN CAFE\u0301 NOIR"), (3, "cafe noir"), (4, "smørrebrød"), (5, "Straße"), (6, None)], "id long, text string")
+    ids = lambda phrase, **more: {r["id"] for r in search.exact_search(docs, "id", ["text"], phrase, stem=False, **more).collect()}
+    assert ids("cafe noir") == ids("CAFÉ noir") == {1, 2, 3} and ids("café", fold=False) == {1}
+    assert ids("smorrebrod") == set() and ids("smørrebrød") == {4} and ids("strasse") == set()
+
+
 def test_fusion(spark):
     leg = lambda *rows: spark.createDataFrame(list(rows), "id string, place int")
     out = {r["id"]: r["score"] for r in search.reciprocal_ranks(leg(("n1", 1), ("n2", 2)), leg(("n3", 1), ("n1", 2))).collect()}
