@@ -78,7 +78,9 @@ def _embedded(missing: DataFrame, provider: Provider, in_flight: int, request: i
 
 
 def fill(chunks: DataFrame, root: str, provider: Provider, model: str, text_col: str = "content", wave: int = WAVE, in_flight: int = IN_FLIGHT, request: int = REQUEST, retries: int = RETRIES) -> int:
-    """Embeds the contents that the store lacks and gives their number. Null counts as empty."""
+    """Embeds the contents that the store lacks and gives their number. Null counts as empty.
+
+    The list of what is missing is staged beside the vectors and never published; ``SnapshotLog.expire`` removes it."""
     log = SnapshotLog(chunks.sparkSession, root)
     contents = chunks.select(F.coalesce(F.col(text_col), F.lit("")).alias("content")).withColumn("hash", content_hash(F.col("content")))
     known = log.read("vectors")

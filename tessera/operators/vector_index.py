@@ -112,8 +112,11 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, id_col: str, vector_co
 def _centres(rows: DataFrame, n: int, cells: int, seed: int) -> np.ndarray:
     """Centres of ``cells`` cells, fitted on at most about SAMPLE rows, those of the smallest hashes."""
     part = rows.where(F.xxhash64("id") < int(-(2**63) + 2**64 * (SAMPLE / n))) if n > SAMPLE else rows
-    model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(part.select(array_to_vector("vector").alias("features")).repartition(max(1, math.ceil(min(n, SAMPLE) / 4096))).persist())
-    return np.array(model.clusterCenters())
+    features = part.select(array_to_vector("vector").alias("features")).repartition(max(1, math.ceil(min(n, SAMPLE) / 4096))).persist()
+    try:
+        return np.array(KMeans(k=cells, seed=seed, maxIter=10, initSteps=2).fit(features).clusterCenters())
+    finally:
+        features.unpersist()
 
 
 def _nearest_cells(table: DataFrame, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
