@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -24,7 +25,7 @@ def tables():
 
 
 def _rows(frame):
-    cell = lambda x: "null" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(int(x)) if type(x).__name__ in ("bool", "bool_") else str(x)
+    cell = lambda x: "null" if x is None or x is pd.NA or x != x else f"{x:.9g}" if isinstance(x, float) else str(int(x)) if type(x).__name__ in ("bool", "bool_") else str(x)
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(cell, row)) for row in frame.astype(object).itertuples(index=False))
 
