@@ -130,9 +130,11 @@ def scrub(text: Column) -> Column:
 
     kind = "scrubbed string, detected array<struct<category:string,line:int,confidence:double>>"
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    # the helper gives null for what it was not sent, so the test is made once
-    done = F.pandas_udf(run, kind)(F.when(may_hold_secrets(text), text))
-    return F.struct(F.coalesce(done["scrubbed"], text).alias("scrubbed"), done["detected"].alias("detected"))
+    # the helper gives null for what it was not sent, so the test is made once; a filter on the result would have the
+    # helper run for itself if it counted as deterministic, and each mention of it would
+    done = F.pandas_udf(run, kind).asNondeterministic()(F.when(may_hold_secrets(text), text))
+    whole = lambda d: F.struct(F.coalesce(d["scrubbed"], text).alias("scrubbed"), d["detected"].alias("detected"))
+    return F.get(F.transform(F.array(done), whole), F.lit(0))
 
 
 def pack_lines(content: Column, most: int = MOST_CHUNK, keep_tail: bool = False) -> Column:
