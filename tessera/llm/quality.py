@@ -4,8 +4,8 @@ The ratio compares two multinomials over hashed byte n-grams: one counted over t
 whole raw corpus. A text's score is the sum of ``log p_target - log p_raw`` over its n-grams, divided by their
 number. Every text is judged by one fixed threshold; nothing is sampled.
 
-The raw multinomial counts every row. The target counts a bounded sample of labelled rows, TARGET_ROWS at most,
-since their keys go to every task. Weights are rounded to multiples of 2**-20 and summed as integers, so a score depends on neither the order nor the
+The raw multinomial counts every row, the target every row of a trusted id: texts meet the trusted ids in a join.
+Weights are rounded to multiples of 2**-20 and summed as integers, so a score depends on neither the order nor the
 batching of rows.
 
 Defined results: a null text counts as empty; an empty text has zero counts, score 0.0 and fails the base rules;
@@ -22,14 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.tables import bounded_keys
 
 #: Hash buckets of the multinomials. The counts that reach the driver are at most this many rows.
 BUCKETS = 1 << 16
 #: Bytes of an n-gram.
 NGRAM = 4
-#: Most trusted rows that the target is counted over: beyond that, those of the smallest hashed ids.
-TARGET_ROWS = 50_000
 #: The target counts as many n-grams more, spread as in the raw corpus: with few trusted texts, an n-gram that they
 #: lack says little, and scores draw near 0.
 PRIOR = 100_000
@@ -117,22 +114,21 @@ def _ngrams(texts: pa.Array, buckets: int, n: int) -> tuple[np.ndarray, np.ndarr
     return code[at], np.searchsorted(at, off)
 
 
-def ngram_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, n: int = NGRAM, most_target: int = TARGET_ROWS) -> DataFrame:
+def ngram_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, n: int = NGRAM) -> DataFrame:
     """(bucket, raw, target): n-grams by bucket over all rows, and over the rows whose id is in ``target``.
 
-    The texts stay where they are: the keys of the trusted rows, ``most_target`` at most, go to every task. Every
-    task sums what it reads before anything is shuffled, so at most ``buckets`` rows leave a task, and a hot source
-    or group of copies weighs no more than any other rows.
+    All trusted ids count, however many: texts and trusted ids meet in one shuffle by id, in which only the ids are
+    held. Every task sums what it reads before its sums are shuffled, so at most ``buckets`` rows leave a task, and a
+    hot source or group of copies weighs no more than any other rows.
     """
-    trusted = docs.sparkSession.sparkContext.broadcast(bounded_keys(target, most_target))
-    keyed = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("__key"), F.col(f"`{text_col}`").alias("__text"))
+    trusted = target.select(F.col(f"`{target.columns[0]}`").alias("__id")).distinct().withColumn("__trusted", F.lit(True))
+    marked = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(trusted.hint("shuffle_hash"), "__id", "left")
 
     def run(batches):
         sums = np.zeros((2, buckets), dtype=np.int64)
         for batch in batches:
             _, offsets = tb.utf8(batch.column(1))
-            keys = batch.column(0).to_numpy()
-            known = trusted.value[np.minimum(np.searchsorted(trusted.value, keys), len(trusted.value) - 1)] == keys
+            known = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in tb.row_slices(offsets):
                 code, bounds = _ngrams(batch.column(1).slice(lo, hi - lo), buckets, n)
                 sums[0] += np.bincount(code, minlength=buckets)
@@ -142,7 +138,7 @@ def ngram_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "target"])
 
-    parts = keyed.mapInArrow(run, "bucket long, raw long, target long")
+    parts = marked.select(F.coalesce("__trusted", F.lit(False)), "__text").mapInArrow(run, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

@@ -88,6 +88,14 @@ def test_quality_llr_matches_brute_force(spark):
     assert {r["llr"] for r in quality.quality_rules(docs, target.limit(0)).collect()} == {0.0}
 
 
+def test_quality_target_counts_every_trusted_row(spark):
+    docs = spark.range(50_500).selectExpr("id AS doc_id", "'grams' AS text")
+    sums = quality.ngram_counts(docs, docs.select("doc_id").unionByName(docs.select("doc_id"))).groupBy().sum("raw", "target").first()
+    assert tuple(sums) == (101_000, 101_000)
+    some = quality.ngram_counts(docs, docs.where("doc_id % 2 = 0").select("doc_id")).groupBy().sum("raw", "target").first()
+    assert tuple(some) == (101_000, 50_500)
+
+
 def test_quality_keeps_the_whole_row(spark):
     docs = documents(spark, ROWS)
     kept = quality.quality_rules(docs, docs.select("doc_id"), keep_row=True).select("__row.*")
