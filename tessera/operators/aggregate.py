@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -35,15 +35,25 @@ def status_counts(files: DataFrame) -> DataFrame:
 def rolling(requests: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
     """Each request with the number, mean duration and error rate of those of its group in the trailing seconds.
 
-    Time is cut into buckets of that length, and each request also goes to the next bucket, as context only: a
-    trailing range lies in one bucket then, and a frequent group is many tasks' work.
+    Time is cut into buckets of that length, and each request also goes to the next bucket, as context only: a frequent
+    group is many tasks' work. A trailing range is then the start of its own bucket and the end of the one before. Both
+    are running sums, one from each side, with context in order of when it leaves the range, so work does not grow with
+    the number of requests in a range, and nothing is subtracted. Requests without a time are a range of their own.
     """
-    at = F.col("ts").cast("timestamp").cast("double")
-    bucket = F.floor(at / seconds)
-    copies = requests.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__copy"))
-    trailing = Window.partitionBy(*by, "__bucket").orderBy(at).rangeBetween(-seconds, 0)
-    counted = copies.withColumns({"n": F.count(F.lit(1)).over(trailing), "avg_duration": F.avg("duration").over(trailing), "error_rate": F.avg(F.col("error").cast("double")).over(trailing)})
-    return counted.where("__copy = 0").drop("__copy", "__bucket")
+    length = int(seconds * 1_000_000)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    copy = F.explode(F.when(at.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    copies = requests.withColumn("__copy", copy).withColumns({"__bucket": at - F.pmod(at, F.lit(length)) + F.col("__copy") * length, "__key": at + F.col("__copy") * length})
+    parts = Window.partitionBy(*by, "__bucket")
+    sides = [(0, parts.orderBy("__key")), (1, parts.orderBy(F.desc("__key")))]
+
+    def both(agg: Callable[[Column], Column], value: Column) -> Column:
+        head, tail = (F.coalesce(agg(F.when(F.col("__copy") == k, value)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) for k, w in sides)
+        return head + tail
+
+    mean = lambda value: F.try_divide(both(F.sum, value), both(F.count, value))
+    counted = copies.withColumns({"n": both(F.count, F.lit(1)), "avg_duration": mean(F.col("duration")), "error_rate": mean(F.col("error").cast("double"))})
+    return counted.where("__copy = 0").drop("__copy", "__bucket", "__key")
 
 
 def queue_stats(tasks: DataFrame, most_tries: int = 3) -> DataFrame:
