@@ -7,7 +7,10 @@ import math
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +32,66 @@ def tokens(text: Column, fold: bool = False) -> Column:
     return F.regexp_extract_all(_lowered(text, fold), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+#: Tokens that :func:`word_positions` sorts at once.
+SLICE_TOKENS = 1 << 21
+
+
+def word_positions(docs: DataFrame) -> DataFrame:
+    """(id, word, positions): each word of each row of ``docs`` (id, words) once, with its places from 0 in order.
+
+    A row's words meet in the task that reads it, so neither words nor places are shuffled or hashed one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < len(ends):
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
+                yield _positions(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+                lo = hi
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "words").mapInArrow(run, f"id {kind}, word string, positions array<int>")
+
+
+def _positions(ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")  # places stay in order
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    first = pa.array(order[starts])
+    places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row).take(first)), coded.dictionary.take(coded.indices.take(first)), places], ["id", "word", "positions"])
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
     """The inverted index: (token, id, tf, positions), one row for each token of each document."""
     placed = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col), fold)).alias("position", "token"))
     return placed.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+def posting_counts(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
+    """(token, n_docs, n, last_position): how many ids have a token, how often it comes, and its last place.
+
+    Rows are counted by token alone, which leaves little to shuffle; what rows of one id count too often is taken off
+    again, from rows of repeated ids only. A missing id counts for no document.
+    """
+    own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col), fold).alias("words"))
+    seen = F.col("id").isNotNull().cast("long")
+    counted = word_positions(own).select("word", seen.alias("n_docs"), F.size("positions").cast("long").alias("n"), F.element_at("positions", -1).alias("last"))
+    repeated = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if not repeated.isEmpty():
+        twice = word_positions(own.join(repeated, "id", "left_semi")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("k"))
+        counted = counted.unionByName(twice.select("word", (1 - F.col("k")).alias("n_docs"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("last")))
+    return counted.groupBy(F.col("word").alias("token")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"), F.max("last").alias("last_position"))
+
+
 def _bm25(tf: Column, n: Column, total: Column, length: Column, average: Column) -> Column:
     idf = F.greatest(F.log((total - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
