@@ -44,18 +44,23 @@ def word_positions(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < len(ends):
-                before = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
-                yield _positions(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
-                lo = hi
+            yield from sliced_positions(batch.column(0), batch.column(1))
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "words").mapInArrow(run, f"id {kind}, word string, positions array<int>")
 
 
+def sliced_positions(ids: pa.Array, words: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """(id, word, positions) of an Arrow batch, in slices of SLICE_TOKENS words at most unless one row has more."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
+        yield _positions(ids.slice(lo, hi - lo), words.slice(lo, hi - lo))
+        lo = hi
+
+
 def _positions(ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()

@@ -3,21 +3,26 @@
 The index is a snapshot log (:mod:`tessera.snapshots`). A batch adds postings, words and document versions, and all
 three are published by one commit: a batch that dies half-way leaves searches on the snapshot before, and a batch that
 is tried again after its commit changes nothing. The newest version of a document counts; a deleted one has a version
-without a length. Postings are cut into buckets by word, and by a salt of the document so that a word of every
-document is many tasks' work; within a file they are sorted by word, so a search reads a few row groups of a few
-buckets. Words are kept without diacritics. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
+without a length. The places of a word are put together in the task that reads a text, and the empty word stands for
+the document: its place is the length. Postings are cut into buckets by word, and by a salt of the document so that a
+word of every document is many tasks' work; within a file they are sorted by word, so a search reads a few row groups
+of a few buckets. Words are kept without diacritics. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
 :func:`compact` makes one batch of all.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stems
-from tessera.operators.search import best, clamped, tokens
+from tessera.operators.search import best, clamped, sliced_positions, tokens
 from tessera.snapshots import SnapshotLog, Writer
 
 #: Folders of postings by word, and the least number of tasks that write one of them.
@@ -39,40 +44,62 @@ def _salts(chars: int | None) -> int:
     return max(SALTS, math.ceil((chars or 0) / (BUCKETS * TASK_CHARS)))
 
 
-def _stage_postings(writer: Writer, dealt: DataFrame, replace: bool = False) -> None:
+def _postings(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(word, field, id, positions): each word of each row of ``docs`` (id, then the words of each field) once a field,
+    with its places in order; of the empty word a row's place is the number of its words in all fields.
+
+    A row's words meet in the task that reads it, so neither words nor places are shuffled or hashed one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = batch.column(0), batch.columns[1:]
+            totals = sum(pc.fill_null(pc.list_value_length(h), 0).to_numpy(zero_copy_only=False).astype(np.int64) for h in held)
+            yield from _named(pa.RecordBatch.from_arrays([ids, pa.array([""] * len(ids), pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32)), pa.array(totals.astype(np.int32)))], ["id", "word", "positions"]), "")
+            for field, h in zip(fields, held, strict=True):
+                for part in sliced_positions(ids, h):
+                    yield from _named(part, field)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"word string, field string, id {kind}, positions array<int>")
+
+
+def _named(part: pa.RecordBatch, field: str) -> Iterator[pa.RecordBatch]:
+    ids, words, places = part.columns
+    yield pa.RecordBatch.from_arrays([words, pa.repeat(pa.scalar(field, pa.string()), len(ids)), ids, places], ["word", "field", "id", "positions"])
+
+
+def _stage_postings(writer: Writer, postings: DataFrame, salts: int, replace: bool = False) -> None:
+    """``postings``: (word, field, id, positions, batch)."""
     stage = writer.replace if replace else writer.append
+    dealt = postings.withColumns({"bucket": _bucket(F.col("word")), "salt": _salt(F.col("id"), salts)}).repartition("bucket", "salt")
     stage("postings", dealt.drop("salt").sortWithinPartitions("bucket", "word"), ("bucket",))
 
 
 def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, batch: int, deleted: DataFrame | None = None) -> None:
     """Writes new and changed documents, and the ids in ``deleted`` (id), as batch ``batch``; numbers must grow.
 
-    A document without text has length 0; one that is both changed and deleted stays. Ids come once a batch.
+    A document without text has length 0; one that is both changed and deleted stays. Ids come once a batch. Texts are
+    split once: words and lengths are read back from the postings.
     """
     log = SnapshotLog(docs.sparkSession, path)
     manifest = log.manifest()
     if log.committed(_STREAM, batch, manifest):
         return
     writer = Writer(log, manifest)
-    held = [tokens(F.col(c), fold=True) for c in text_cols]
-    length = sum([F.size(t) for t in held[1:]], F.size(held[0]))
     number = F.lit(batch).alias("batch")
-    versions = docs.select(F.col(id_col).alias("id"), length.alias("length"))
+    chars = docs.agg(F.sum(sum([F.coalesce(F.length(F.col(c)), F.lit(0)) for c in text_cols], F.lit(0)).cast("long"))).first()[0]
+    held = [tokens(F.col(c), fold=True).alias(f"words{k}") for k, c in enumerate(text_cols)]
+    _stage_postings(writer, _postings(docs.select(F.col(id_col).alias("id"), *held), text_cols).select("*", number), _salts(chars))
+
+    stored = writer.staged("postings")
+    versions = stored.where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("word") == "")).select("id", F.col("positions")[0].alias("length"))
     if deleted is not None:
         gone = deleted.select("id").join(versions.select("id"), "id", "left_anti")
         versions = versions.unionByName(gone.select("id", F.lit(None).cast("int").alias("length")))
     writer.append("versions", versions.select("id", "length", number))
 
-    chars = docs.agg(F.sum(sum([F.coalesce(F.length(F.col(c)), F.lit(0)) for c in text_cols], F.lit(0)).cast("long"))).first()[0]
-    salts = _salts(chars)
-    every = F.array(*[F.struct(F.lit(c).alias("field"), t.alias("words")) for c, t in zip(text_cols, held, strict=True)])
-    fields = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("f"))
-    placed = fields.select("id", "f.field", F.posexplode("f.words").alias("position", "word"))
-    dealt = placed.withColumns({"bucket": _bucket(F.col("word")), "salt": _salt(F.col("id"), salts)}).repartition("bucket", "salt")
-    lists = dealt.groupBy("bucket", "salt", "word", "field", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    _stage_postings(writer, lists.select("word", "field", "id", "positions", number, "bucket", "salt"))
-
-    words = placed.select("word").distinct()
+    words = stored.select("word").where("word <> ''").distinct()
     writer.append("words", words.select("word", stems(F.array("word"))[0].alias("stem")).sortWithinPartitions("stem"))
     writer.commit(_STREAM, batch)
 
@@ -100,8 +127,7 @@ def compact(spark: SparkSession, path: str, into: str | None = None) -> int:
     number = F.lit(last).alias("batch")
     writer.replace("versions", live.select("id", "length", number))
     stored = log.read("postings", manifest=manifest).join(live.select("id", "batch"), ["id", "batch"], "left_semi")
-    dealt = stored.select("word", "field", "id", "positions", number, "bucket", _salt(F.col("id"), SALTS).alias("salt")).repartition("bucket", "salt")
-    _stage_postings(writer, dealt, replace=True)
+    _stage_postings(writer, stored.select("word", "field", "id", "positions", number), SALTS, replace=True)
     kept = log.read("words", manifest=manifest).distinct().join(stored.select("word").distinct(), "word", "left_semi")
     writer.replace("words", kept.sortWithinPartitions("stem"))
     writer.commit(*(() if into is None else (_STREAM, last)))
@@ -135,9 +161,11 @@ def phrase_search(spark: SparkSession, path: str, phrase: str, limit: int = 20,
     if fields is not None:
         postings = postings.where(F.col("field").isin(*fields))
     own = postings.drop("bucket").join(F.broadcast(slots.drop("bucket")), "word")
-    starts = own.select("id", "batch", "field", "slot", F.explode("positions").alias("at")).withColumn("start", F.col("at") - F.col("slot"))
-    whole = starts.groupBy("id", "batch", "field", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
-    found = whole.groupBy("id", "batch").agg(F.count(F.lit(1)).alias("tf")).join(live, ["id", "batch"]).select("id", "length", "tf")
+    shifted = own.select("id", "batch", "field", F.transform("positions", lambda at: at - F.col("slot")).alias("starts"))
+    # a slot's word is at a place once, so the phrase begins where as many slots agree as there are
+    starts = shifted.groupBy("id", "batch", "field").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("s"))
+    whole = starts.select("id", "batch", F.size(F.filter("s", lambda x, i: F.get("s", i + len(wanted) - 1) == x)).alias("n")).where("n > 0")
+    found = whole.groupBy("id", "batch").agg(F.sum("n").alias("tf")).join(live, ["id", "batch"]).select("id", "length", "tf")
     total, average = live.agg(F.count(F.lit(1)), F.avg("length")).first()
     n = found.count()
     return best(found, n, total, average, limit, offset) if n else nothing

@@ -33,3 +33,26 @@ def test_counts_shuffle_no_list_of_places(spark):
     docs = spark.createDataFrame([(1, "a b")], "id long, text string")
     plan = search.posting_counts(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and plan.count("Exchange") == 1
+
+
+def test_an_index_places_words_where_it_reads_them(spark, tmp_path, monkeypatch):
+    from tessera.operators import text_index
+    from tessera.snapshots import SnapshotLog
+
+    texts = [(1, "a a a b", "b"), (2, None, None), (3, "b a a", "a a a a"), (4, "x", None)]
+    docs = spark.createDataFrame(texts, "id long, title string, body string").coalesce(1)
+    staged, stage = [], text_index._stage_postings
+    monkeypatch.setattr(text_index, "_stage_postings", lambda writer, postings, *more, **named: (staged.append(postings), stage(writer, postings, *more, **named)))
+    for most in (1, 3, search.SLICE_TOKENS):
+        monkeypatch.setattr(search, "SLICE_TOKENS", most)
+        path = str(tmp_path / f"index{most}")
+        text_index.add_batch(docs, "id", ["title", "body"], path, 0)
+        lengths = {r["id"]: r["length"] for r in text_index.current(spark, path).collect()}
+        assert lengths == {1: 5, 2: 0, 3: 7, 4: 1}
+        stored = {(r["word"], r["field"], r["id"]): r["positions"] for r in SnapshotLog(spark, path).read("postings").where("word <> ''").collect()}
+        assert stored == {("a", "title", 1): [0, 1, 2], ("b", "title", 1): [3], ("b", "body", 1): [0], ("b", "title", 3): [0], ("a", "title", 3): [1, 2], ("a", "body", 3): [0, 1, 2, 3], ("x", "title", 4): [0]}
+        for phrase in ("a a", "a a a b", "b", "b a", "a", "b b"):
+            given = [[(r["id"], round(r["rank"], 9)) for r in found.collect()] for found in (text_index.phrase_search(spark, path, phrase), search.exact_search(docs, "id", ["title", "body"], phrase))]
+            assert given[0] == given[1]
+    plan = staged[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Generate" not in plan
