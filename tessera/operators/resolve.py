@@ -43,9 +43,17 @@ def first_symbols(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file_path", "repository_id").agg(F.min(ranked)["id"].alias("source_id"))
 
 
+def target_base(file_path: Column, source: Column) -> Column:
+    """A relative source as a path, without what may follow it."""
+    return normal_path(F.concat_ws("/", directory(file_path), source))
+
+
 def target_paths(file_path: Column, source: Column) -> Column:
     """The paths that a relative source can stand for."""
-    base = normal_path(F.concat_ws("/", directory(file_path), source))
+    return with_suffixes(target_base(file_path, source))
+
+
+def with_suffixes(base: Column) -> Column:
     return F.transform(F.array(*[F.lit(s) for s in IMPORT_SUFFIXES]), lambda s: F.concat(base, s))
 
 
@@ -58,9 +66,11 @@ def import_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     """``imports``: (file_path, source, imported, repository_id). Only relative sources resolve.
 
     The path test becomes a second join key: each import names the few paths that its source can stand for. The
-    importing symbol is that of :func:`first_symbols`.
+    importing symbol is that of :func:`first_symbols`. Imports are made distinct before their paths are listed, so the
+    table that a task holds for it has a row an import, not one a path.
     """
-    wanted = imports.where(F.col("source").startswith(".")).select("file_path", "imported", "repository_id", F.explode(target_paths(F.col("file_path"), F.col("source"))).alias("target_path")).distinct()
+    based = imports.where(F.col("source").startswith(".")).select("file_path", "imported", "repository_id", target_base(F.col("file_path"), F.col("source")).alias("base")).distinct()
+    wanted = based.select("file_path", "imported", "repository_id", F.explode(with_suffixes(F.col("base"))).alias("target_path"))
     placed = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("imported"), "repository_id", F.col("file_path").alias("own_path"))
     targets = placed.select("target_id", "imported", "repository_id", "own_path", F.explode(names_of_path(F.col("own_path"))).alias("target_path"))
     found = wanted.join(targets, ["imported", "repository_id", "target_path"]).where("own_path <> file_path")
