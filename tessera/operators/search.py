@@ -32,7 +32,7 @@ def tokens(text: Column, fold: bool = False) -> Column:
     return F.regexp_extract_all(_lowered(text, fold), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-#: Tokens that :func:`word_positions` sorts at once.
+#: Tokens that :func:`word_positions` and :func:`packed_positions` sort at once.
 SLICE_TOKENS = 1 << 21
 
 
@@ -50,31 +50,68 @@ def word_positions(docs: DataFrame) -> DataFrame:
     return docs.select("id", "words").mapInArrow(run, f"id {kind}, word string, positions array<int>")
 
 
-def sliced_positions(ids: pa.Array, words: pa.ListArray) -> Iterator[pa.RecordBatch]:
-    """(id, word, positions) of an Arrow batch, in slices of SLICE_TOKENS words at most unless one row has more."""
+def slices(words: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of slices of SLICE_TOKENS words at most unless one row has more."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(ends):
         before = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
-        yield _positions(ids.slice(lo, hi - lo), words.slice(lo, hi - lo))
+        yield lo, hi - lo
         lo = hi
 
 
-def _positions(ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+def sliced_positions(ids: pa.Array, words: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """(id, word, positions) of an Arrow batch, in slices."""
+    for lo, n in slices(words):
+        yield _positions(ids.slice(lo, n), words.slice(lo, n))
+
+
+def _flat(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """The row and the place of every word, and the words."""
     sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
     row = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), words.flatten().dictionary_encode()
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, and the end."""
+    n = len(keys[0])
+    differ = np.zeros(max(0, n - 1), bool)
+    for key in keys:
+        differ |= key[1:] != key[:-1]
+    return np.r_[np.flatnonzero(np.r_[n > 0, differ]), n].astype(np.int32) if n else np.zeros(1, np.int32)
+
+
+def _positions(ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+    row, at, coded = _flat(words)
     key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
     order = np.argsort(key, kind="stable")  # places stay in order
-    key = key[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    first = pa.array(order[starts])
-    places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    starts = _starts(key[order])
+    first = pa.array(order[starts[:-1]])
+    places = pa.ListArray.from_arrays(pa.array(starts), pa.array(at[order].astype(np.int32)))
     return pa.RecordBatch.from_arrays([ids.take(pa.array(row).take(first)), coded.dictionary.take(coded.indices.take(first)), places], ["id", "word", "positions"])
 
 
+def packed_positions(ids: pa.Array, words: pa.ListArray) -> Iterator[tuple[pa.Array, pa.ListArray, pa.ListArray, pa.ListArray]]:
+    """(words, ids, offsets, places) of each slice of an Arrow batch: a word comes once a slice, with the ids of its
+    rows in their order, all its places, and where in these each row's begin, and the end."""
+    for lo, n in slices(words):
+        row, at, coded = _flat(words.slice(lo, n))
+        # a word's number and its place in the slice are one number, so a plain sort keeps places in order
+        key = np.sort((coded.indices.to_numpy().astype(np.int64) << 32) | np.arange(len(row)))
+        word, order = key >> 32, key & 0xFFFFFFFF
+        row = row[order]
+        starts = _starts(word, row)
+        first = _starts(word[starts[:-1]])
+        # a word's offsets are those of its rows and the first of the next word's
+        owner, begun = np.arange(len(first) - 1), starts[first]
+        ends = np.insert(starts[:-1], first[1:], begun[1:]) - np.repeat(begun[:-1], np.diff(first) + 1)
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+        held = ids.slice(lo, n).take(pa.array(row[starts[:-1]]))
+        yield coded.dictionary, lists(first, held), lists(first + np.r_[owner, len(owner)], pa.array(ends.astype(np.int32))), lists(begun, pa.array(at[order].astype(np.int32)))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
     """The inverted index: (token, id, tf, positions), one row for each token of each document."""
     placed = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col), fold)).alias("position", "token"))

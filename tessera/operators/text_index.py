@@ -3,10 +3,10 @@
 The index is a snapshot log (:mod:`tessera.snapshots`). A batch adds postings, words and document versions, and all
 three are published by one commit: a batch that dies half-way leaves searches on the snapshot before, and a batch that
 is tried again after its commit changes nothing. The newest version of a document counts; a deleted one has a version
-without a length. The places of a word are put together in the task that reads a text, and the empty word stands for
-the document: its place is the length. Postings are cut into buckets by word, and by a salt of the document so that a
-word of every document is many tasks' work; within a file they are sorted by word, so a search reads a few row groups
-of a few buckets. Words are kept without diacritics. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
+without a length. The places of a word are put together in the task that reads a text, in one stored row for
+all texts at hand there, and the empty word stands for the document: its place is the length. Postings are cut into
+buckets by word, and by a salt of the first of these documents so that a word of every document is many tasks' work;
+within a file they are sorted by word, so a search reads a few row groups of a few buckets. Words are kept without diacritics. Stems are stored once for each word of a batch, and a search looks up the words of its stems.
 :func:`compact` makes one batch of all.
 """
 
@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stems
-from tessera.operators.search import best, clamped, sliced_positions, tokens
+from tessera.operators.search import best, clamped, packed_positions, tokens
 from tessera.snapshots import SnapshotLog, Writer
 
 #: Folders of postings by word, and the least number of tasks that write one of them.
 BUCKETS, SALTS = 64, 8
 #: Characters of text whose postings one task writes; a batch of more is dealt over more salts.
 TASK_CHARS = 1 << 27
+#: How readers see a word's stored list: a row for each id, with its places, which are between its offset and the next.
+PACKED = ("transform(ids, (x, i) -> named_struct('id', x, 'positions', slice(places, offsets[i] + 1, offsets[i + 1] - offsets[i])))", ["ids", "offsets", "places"])
 _STREAM = "index"
 
 
@@ -45,35 +47,41 @@ def _salts(chars: int | None) -> int:
 
 
 def _postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(word, field, id, positions): each word of each row of ``docs`` (id, then the words of each field) once a field,
-    with its places in order; of the empty word a row's place is the number of its words in all fields.
+    """(word, field, ids, offsets, places): each word of some rows of ``docs`` (id, then the words of each field) once a
+    field, with the rows' ids and its places in each, in order (see PACKED); of the empty word a row's place is the
+    number of its words in all fields.
 
-    A row's words meet in the task that reads it, so neither words nor places are shuffled or hashed one by one.
+    Rows' words meet in the task that reads them, as many at a time as ``search.SLICE_TOKENS`` allows, so neither words
+    nor places nor single postings are shuffled, sorted or stored one by one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held = batch.column(0), batch.columns[1:]
+            if not len(ids):
+                continue
             totals = sum(pc.fill_null(pc.list_value_length(h), 0).to_numpy(zero_copy_only=False).astype(np.int64) for h in held)
-            yield from _named(pa.RecordBatch.from_arrays([ids, pa.array([""] * len(ids), pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32)), pa.array(totals.astype(np.int32)))], ["id", "word", "positions"]), "")
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            numbered = pa.array(np.arange(len(ids) + 1, dtype=np.int32))
+            yield _named("", pa.array([""], pa.string()), one(ids), one(numbered), one(pa.array(totals.astype(np.int32))))
             for field, h in zip(fields, held, strict=True):
-                for part in sliced_positions(ids, h):
-                    yield from _named(part, field)
+                for part in packed_positions(ids, h):
+                    yield _named(field, *part)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"word string, field string, id {kind}, positions array<int>")
+    return docs.mapInArrow(run, f"word string, field string, ids array<{kind}>, offsets array<int>, places array<int>")
 
 
-def _named(part: pa.RecordBatch, field: str) -> Iterator[pa.RecordBatch]:
-    ids, words, places = part.columns
-    yield pa.RecordBatch.from_arrays([words, pa.repeat(pa.scalar(field, pa.string()), len(ids)), ids, places], ["word", "field", "id", "positions"])
+def _named(field: str, words: pa.Array, *lists: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words, pa.repeat(pa.scalar(field, pa.string()), len(words)), *lists], ["word", "field", "ids", "offsets", "places"])
 
 
 def _stage_postings(writer: Writer, postings: DataFrame, salts: int, replace: bool = False) -> None:
-    """``postings``: (word, field, id, positions, batch)."""
-    stage = writer.replace if replace else writer.append
-    dealt = postings.withColumns({"bucket": _bucket(F.col("word")), "salt": _salt(F.col("id"), salts)}).repartition("bucket", "salt")
-    stage("postings", dealt.drop("salt").sortWithinPartitions("bucket", "word"), ("bucket",))
+    """``postings``: (word, field, batch) and either (id, positions) or (ids, offsets, places)."""
+    stage, packed = writer.replace if replace else writer.append, "ids" in postings.columns
+    salt = _salt(F.col("ids")[0] if packed else F.col("id"), salts)
+    dealt = postings.withColumns({"bucket": _bucket(F.col("word")), "salt": salt}).repartition("bucket", "salt")
+    stage("postings", dealt.drop("salt").sortWithinPartitions("bucket", "word"), ("bucket",), PACKED if packed else None)
 
 
 def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, batch: int, deleted: DataFrame | None = None) -> None:
@@ -99,7 +107,7 @@ def add_batch(docs: DataFrame, id_col: str, text_cols: list[str], path: str, bat
         versions = versions.unionByName(gone.select("id", F.lit(None).cast("int").alias("length")))
     writer.append("versions", versions.select("id", "length", number))
 
-    words = stored.select("word").where("word <> ''").distinct()
+    words = writer.staged("postings", unpack=False).select("word").where("word <> ''").distinct()
     writer.append("words", words.select("word", stems(F.array("word"))[0].alias("stem")).sortWithinPartitions("stem"))
     writer.commit(_STREAM, batch)
 

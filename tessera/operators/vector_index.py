@@ -133,7 +133,7 @@ def _nearest_cells(table: DataFrame, vector: str, centres: np.ndarray, probes: i
             cells = np.empty((len(own), n), dtype=np.int32)
             for lo in range(0, len(own), 1024):
                 gaps = (known**2).sum(axis=1) - 2 * own[lo : lo + 1024] @ known.T
-                cells[lo : lo + 1024] = np.argsort(gaps, axis=1, kind="stable")[:, :n]
+                cells[lo : lo + 1024] = np.argsort(gaps, axis=1, kind="stable")[:, :n] if n > 1 else np.argmin(np.where(np.isnan(gaps), np.inf, gaps), axis=1)[:, None]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, n), pa.int32()), pa.array(cells.ravel()))], [*batch.schema.names, "cells"])
 
     return table.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in table.schema] + ["cells array<int>"]))

@@ -56,3 +56,24 @@ def test_an_index_places_words_where_it_reads_them(spark, tmp_path, monkeypatch)
             assert given[0] == given[1]
     plan = staged[0]._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan and "Generate" not in plan
+
+
+def test_an_index_stores_one_row_for_a_word_of_many_texts(spark, tmp_path):
+    from tessera.operators import text_index
+    from tessera.snapshots import SnapshotLog, Writer
+
+    path, docs = str(tmp_path / "index"), spark.range(1000).selectExpr("id", "IF(id % 2 = 0, 'a b a', 'b') AS text").coalesce(1)
+    text_index.add_batch(docs, "id", ["text"], path, 0)
+    log = SnapshotLog(spark, path)
+    files = spark.read.parquet(*[f"{path}/{f}" for f in log.manifest()["tables"]["postings"]["folders"]])
+    assert sorted(r["word"] for r in files.collect()) == ["", "a", "b"]
+    read = lambda: sorted(map(tuple, log.read("postings").where("word <> ''").select("word", "id", "positions", "batch").collect()))
+    first = sorted([("a", k, [0, 2], 0) for k in range(0, 1000, 2)] + [("b", k, [1] if k % 2 == 0 else [0], 0) for k in range(1000)])
+    assert read() == first
+    # rows that were stored one by one are read beside packed ones
+    writer = Writer(log, log.manifest())
+    text_index._stage_postings(writer, spark.createDataFrame([("c", "text", 7, [3], 1)], "word string, field string, id long, positions array<int>, batch int"), 8)
+    writer.commit("index", 1)
+    assert read() == [*first, ("c", 7, [3], 1)]
+    text_index.compact(spark, path)
+    assert [r["id"] for r in text_index.phrase_search(spark, path, "b a", 5).collect()] == [0, 2, 4, 6, 8]
