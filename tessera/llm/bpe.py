@@ -2,7 +2,8 @@
 
 A text is cut into the matches of the vocabulary's split pattern. Each distinct piece is encoded once a task by the
 library (no special tokens: their strings are ordinary text) and kept in a bounded cache; a text's ids are the
-joined ids of its pieces, which is what encoding the whole text gives, since merges never cross a piece.
+joined ids of its pieces, which is what encoding the whole text gives, since merges never cross a piece. New pieces go
+to the library many at a time, as the words of one text, and the bytes that ids stand for say where a piece's ids end.
 
 The vocabulary writes each byte as one printable character. Decoding maps the characters of each id's entry back
 through that byte table, so an id that holds only part of a multi-byte character gives back exactly its bytes, and
@@ -15,22 +16,26 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tessera.llm import textblocks as tb
 
-#: The split pattern with the white space of Unicode spelled out, so that the regex module reads it as Rust does.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: The split pattern; its classes are letters, numbers and the white space of Unicode, which is what Rust's ``\\s`` is.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+_CLASSES = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\p{White_Space}"}
+#: Characters that the re module finds in a class by one look into a table.
+_TABLE_CHARS = 0x10000
 #: Distinct pieces in each of the two generations that a task keeps: the younger one becomes the older once it is full,
 #: and a piece that is met again moves back, so common pieces stay.
 CACHE_PIECES = 200_000
-#: Pieces that the library encodes in one call; its results take far more memory than the ids.
+#: Pieces that the library encodes in one call; its result takes far more memory than the ids.
 ENCODE_PIECES = 4_096
 
 
@@ -41,35 +46,62 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def splitters() -> tuple[re.Pattern, regex.Pattern]:
+    """The split pattern for texts of the first 65,536 characters and for all texts.
+
+    The first is the faster one; it lists the characters that the other's classes have.
+    """
+    chars = "".join(map(chr, range(_TABLE_CHARS)))
+    listed = {k: "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(f"{c}+", chars)) for k, c in _CLASSES.items()}
+    return re.compile(_SPLIT.format(**listed)), regex.compile(_SPLIT.format(**_CLASSES))
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file in one task."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(_SPLIT).findall
+        if isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+            self.tokenizer.pre_tokenizer.use_regex = False  # what it gets is cut
+        self.near, self.any = (p.findall for p in splitters())
         table = byte_table()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(map(table.__getitem__, token)) if all(c in table for c in token) else token.encode()
+        self.sizes = np.array(list(map(len, self.bytes_of)), dtype=np.int64)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the split pattern."""
+        return (self.near if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.any)(text)
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, from one call of the library."""
+        ids = np.array(self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+        ends, own = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+        last = np.searchsorted(ends, own)
+        if len(ids) != last[-1] + 1 or (ends[last] != own).any():  # a vocabulary that writes other bytes than the piece's
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        packed, to = ids.tobytes(), [0, *(4 * last + 4).tolist()]
+        return [packed[a:b] for a, b in zip(to, to[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
         distinct = set().union(*cut)
-        if len(self.cache) + len(distinct.difference(self.cache)) > CACHE_PIECES:
-            self.cache, self.older = {}, self.cache
         absent = distinct.difference(self.cache)
-        known = absent.intersection(self.older)
+        if len(self.cache) + len(absent) > CACHE_PIECES:
+            self.cache, self.older, absent = {}, self.cache, distinct
+        known = list(filter(self.older.__contains__, absent))
         self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
         new = list(absent.difference(known))
         for at in range(0, len(new), ENCODE_PIECES):
             some = new[at : at + ENCODE_PIECES]
-            for piece, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
+            self.cache.update(zip(some, self.encode_pieces(some), strict=True))
         ids = self.cache.__getitem__
         return [b"".join(map(ids, c)) for c in cut]
 

@@ -130,6 +130,41 @@ def test_bpe_equals_the_reference_encoder_and_round_trips(spark):
     assert bpe.round_trip(empty(spark), vocabulary_path()).count() == 0
 
 
+def test_bpe_pieces_go_to_the_library_together_and_are_split_alike():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    class Counting:
+        def __init__(self, own: Tokenizer):
+            self.own, self.made = own, 0
+
+        def encode_batch_fast(self, *args, **kwargs):
+            out = self.own.encode_batch_fast(*args, **kwargs)
+            self.made += len(out)
+            return out
+
+    codec = bpe.Codec(vocabulary_path())
+    codec.tokenizer = counting = Counting(codec.tokenizer)
+    words = [f"w{i}é {i}\n" for i in range(6_000)]
+    packed = codec.encode([" ".join(words), "", "w1é 中 \U0001f600"])
+    assert counting.made <= 1 + len(codec.cache) // bpe.ENCODE_PIECES
+    assert [codec.decode(p).decode() for p in packed] == [" ".join(words), "", "w1é 中 \U0001f600"]
+    near, every = bpe.splitters()
+    draw = random.Random(5)
+    chars = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    mixed = chars + [" ", "'", "a", "\n"] * 9_000
+    texts = ["".join(chars), "".join(f"a{c}{c} {c}1" for c in chars), *("".join(draw.choices(mixed, k=500)) for _ in range(50))]
+    assert all(near.findall(t) == every.findall(t) for t in texts)
+    assert codec.pieces("a \U0001d400b") == ["a", " \U0001d400b"]  # a letter beyond the table
+    # a vocabulary without the byte of "c": pieces are encoded apart, and what it cannot write is left out as ever
+    few = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "ab": 3}, merges=[("a", "b")]))
+    few.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    codec.tokenizer, codec.bytes_of, codec.sizes = few, [b"a", b"b", b" ", b"ab"], np.array([1, 1, 1, 2])
+    assert [np.frombuffer(p, "<u4").tolist() for p in codec.encode_pieces(["ab", "cab", "c", " b"])] == [[3], [3], [], [2, 1]]
+
+
 # -- SimHash ---------------------------------------------------------------------------------------------------------
 
 
